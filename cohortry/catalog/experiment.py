@@ -9,6 +9,7 @@ from cohortry.functions import ratio
 from cohortry.operators import experiment as exp
 from cohortry.sources.standins import (
     BILL_END,
+    BILL_INDEX,
     BILL_START,
     EXCLUDED_SEGMENT,
     Standins,
@@ -19,10 +20,18 @@ SEGMENT_CELL = ["segment"]
 TAG_CELL = ["segment", "account_tag"]
 
 
+def _population(t: Standins):
+    return exp.base_population(t.bills, t.account_flags, BILL_START, BILL_END, BILL_INDEX)
+
+
 def _base(t: Standins):
-    return exp.with_priority_tag(
-        exp.base_population(t.bills, t.account_flags, BILL_START, BILL_END)
-    )
+    return exp.with_priority_tag(_population(t))
+
+
+def _accounts(t: Standins, keys=("account_id",)):
+    """Folded bills with customer and tag."""
+    eligible = exp.eligible_bills(t.bills, BILL_START, BILL_END, BILL_INDEX)
+    return exp.with_priority_tag(exp.with_account(exp.folded_bills(eligible, keys), t.account_flags))
 
 
 def _assigned(t: Standins):
@@ -30,7 +39,7 @@ def _assigned(t: Standins):
 
 
 def _metrics(t: Standins, extra=()):
-    return exp.cell_metrics(_base(t), t.holdout, EXCLUDED_SEGMENT, extra)
+    return exp.cell_metrics(_accounts(t), t.holdout, EXCLUDED_SEGMENT, extra)
 
 
 def _significance(t: Standins, cell):
@@ -192,7 +201,7 @@ SLIM_DIGITS = digits(
 
 @query(with_relations("base") + " SELECT * EXCLUDE (account_tag) FROM base")
 def exp01_base_population(t):
-    return exp.base_population(t.bills, t.account_flags, BILL_START, BILL_END)
+    return _population(t)
 
 
 @query(with_relations("base") + " SELECT * FROM base")
@@ -304,7 +313,7 @@ def exp11_significance_block(t):
 
 @query(_slim_sql(SEGMENT_CELL) + " SELECT * FROM slim", SLIM_DIGITS)
 def exp12_side_by_side(t):
-    return _slim(t, SEGMENT_CELL)
+    return _slim(t, SEGMENT_CELL).orderBy(*SEGMENT_CELL)
 
 
 @query(_both_sql(TAG_CELL) + " SELECT * FROM significance", BOTH_DIGITS)
@@ -323,7 +332,15 @@ FROM slim s LEFT JOIN segment_delta d ON s.segment = d.segment""",
     {**SLIM_DIGITS, "share_defaulted": 8},
 )
 def exp14_contribution_share(t):
-    return exp.with_contribution_share(_slim(t, TAG_CELL), _slim(t, SEGMENT_CELL))
+    # Both levels start from the same client rows, whose exchange is reused.
+    clients = exp.client_totals(_accounts(t), [exp.TAG])
+
+    def slim(cell):
+        metrics = exp.cell_metrics(clients, t.holdout, EXCLUDED_SEGMENT, cell[1:])
+        return exp.side_by_side(exp.default_rate_significance(metrics, cell), cell)
+
+    shares = exp.with_contribution_share(slim(TAG_CELL), slim(SEGMENT_CELL))
+    return shares.orderBy("segment", "group")
 
 
 @query(
@@ -342,7 +359,7 @@ def exp14_contribution_share(t):
     digits(d8=["delta_relative", "IC_lower", "IC_upper"]),
 )
 def exp15_long_summary(t):
-    return exp.long_summary(_slim(t, SEGMENT_CELL))
+    return exp.long_summary(_slim(t, SEGMENT_CELL)).orderBy(*exp.summary_order())
 
 
 @query(
@@ -353,7 +370,7 @@ def exp15_long_summary(t):
 FROM assigned GROUP BY segment"""
 )
 def exp16_funnel(t):
-    return exp.funnel(_assigned(t))
+    return exp.funnel(exp.attach_assignment(_accounts(t), t.holdout, EXCLUDED_SEGMENT))
 
 
 @query(
@@ -368,7 +385,8 @@ FROM (SELECT segment, customer_id, COUNT(*) AS n_bills, COUNT(DISTINCT due_date)
 GROUP BY segment"""
 )
 def exp17_bills_per_customer(t):
-    return exp.bills_per_customer(_assigned(t))
+    days = _accounts(t, ("account_id", "due_date"))
+    return exp.bills_per_customer(exp.attach_assignment(days, t.holdout, EXCLUDED_SEGMENT))
 
 
 @query(

@@ -100,7 +100,7 @@ _CUMULATIVE = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "running", "cum
 
 @query(_CUMULATIVE + _uplift_sql("stats") + " SELECT * FROM uplift", DIFFERENCE_DIGITS)
 def upl01_metric_uplift(t):
-    return _frames(t).cumulative_uplift
+    return _frames(t).cumulative_uplift.orderBy("period", "variant")
 
 
 @query(with_relations("first_seen") + " SELECT * FROM first_seen")
@@ -125,7 +125,7 @@ def upl05_cumulative(t):
 
 @query(_PERIODIC + " SELECT * FROM stats", STATS_DIGITS)
 def upl06_period_stats(t):
-    return _frames(t).periodic_stats
+    return _frames(t).periodic_stats.orderBy("period", "variant")
 
 
 @query(

@@ -74,12 +74,8 @@ def contribution_matrix(
 ) -> DataFrame:
     """Products as rows, the given periods as columns, and a total row."""
     arm = uplift.filter(F.col("variant") == variant)
-    rows = contributions_long(arm).drop("variant")
-    totals = arm.select(
-        PERIOD, F.lit(total).alias("product"), F.col("uplift").alias("contribution")
-    )
     return (
-        rows.unionByName(totals)
+        contributions_long(arm.withColumnRenamed("uplift", f"uplift_{total}"))
         .withColumn(PERIOD, F.date_format(PERIOD, "yyyy-MM-dd"))
         .groupBy("product")
         .pivot(PERIOD, list(periods))

@@ -136,7 +136,6 @@ def period_stats(
         )
         .withColumn("se", F.col("std_metric") / F.sqrt("n_customers"))
         .withColumn("moe_95", F.lit(Z95) * F.col("se"))
-        .orderBy(PERIOD, VARIANT)
     )
 
 
@@ -197,12 +196,8 @@ def stats_uplift(
 ) -> DataFrame:
     """Uplift of a ``period_stats`` frame, with ``uplift_<alias>`` contributions."""
     values = {**_MAIN_VALUES, **{f"avg_{a}": f"avg_{a}" for a in aliases}}
-    return (
-        uplift_against_control(stats, values, control=control)
-        .withColumns(
-            {f"uplift_{a}": F.col(f"avg_{a}_t") - F.col(f"avg_{a}_c") for a in aliases}
-        )
-        .orderBy(PERIOD, VARIANT)
+    return uplift_against_control(stats, values, control=control).withColumns(
+        {f"uplift_{a}": F.col(f"avg_{a}_t") - F.col(f"avg_{a}_c") for a in aliases}
     )
 
 
@@ -215,7 +210,10 @@ def metric_uplift(
     grain: str = "day",
     control: str = "control",
 ) -> UpliftFrames:
-    """Periodic and cumulative stats and uplift of one metric and its parts."""
+    """Periodic and cumulative stats and uplift of one metric and its parts.
+
+    The frames are not ordered; sort by period and variant to show them.
+    """
     metrics = {MAIN: branch.metric, **branch.parts}
     aliases = list(branch.parts)
     periods = with_running_totals(
