@@ -156,9 +156,10 @@ SPREAD = (
     "stddev_outstanding_balance_per_client",
     "stddev_total_balance_per_client",
 )
-METRIC_DIGITS = digits(
-    d2=MONEY + ("cov_outstanding_total_per_client",), d4=SPREAD, d8=["balance_risk_ratio"]
-)
+METRIC_DIGITS = {
+    **digits(d2=MONEY, d4=SPREAD, d8=["balance_risk_ratio"]),
+    "cov_outstanding_total_per_client": -2,
+}
 CELL_DIGITS = {**METRIC_DIGITS, **digits(d8=["unit_risk_rate"])}
 
 
@@ -290,7 +291,7 @@ def exp09_sig_ratio(t):
             )
         ],
     ),
-    {**CELL_DIGITS, **digits(d4=["avg_balance"]), **_block_digits("avg_balance", absolute=4)},
+    {**CELL_DIGITS, **digits(d7=["avg_balance"]), **_block_digits("avg_balance", absolute=7)},
 )
 def exp10_sig_mean(t):
     averaged = _metrics(t).withColumn(

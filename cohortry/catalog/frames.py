@@ -33,7 +33,7 @@ _LONG_SQL = " UNION ALL ".join(
 
 @query(
     UPLIFT_SQL + _band_sql("treatment", "t") + " UNION ALL " + _band_sql("control", "c"),
-    digits(d2=["lower", "upper"]),
+    digits(d0=["lower", "upper"]),
 )
 def frm01_arm_bands(t):
     return frm.arm_bands(_uplift(t))

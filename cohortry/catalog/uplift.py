@@ -86,8 +86,8 @@ uplift AS ({_difference_sql(contributions)})"""
 
 # Fact amounts are whole minor units, so sums and means agree to the last bit;
 # only what derives from a standard deviation needs rounding.
-STATS_DIGITS = digits(d2=["std_metric", "se", "moe_95"])
-DIFFERENCE_DIGITS = digits(d2=["std_t", "std_c", "se_uplift", "moe_95", "ci_lower", "ci_upper"])
+STATS_DIGITS = digits(d0=["std_metric", "se", "moe_95"])
+DIFFERENCE_DIGITS = digits(d0=["std_t", "std_c", "se_uplift", "moe_95", "ci_lower", "ci_upper"])
 
 _PERIODIC = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "periods", "")
 _CUMULATIVE = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "running", "cum_")
@@ -158,7 +158,7 @@ _LONG_SQL = _exposed_sql({n: n for n in _NAMES}) + ",\nlong_stats AS (" + " UNIO
 ) + ")"
 
 
-@query(_LONG_SQL + " SELECT * FROM long_stats", digits(d2=["std_metric"]))
+@query(_LONG_SQL + " SELECT * FROM long_stats", digits(d0=["std_metric"]))
 def upl09_hierarchy_stats(t):
     return up.hierarchy_stats(t.exposure, t.facts, BRANCHES, ROLLOUT, grain=GRAIN)
 
