@@ -99,7 +99,7 @@ def overwrite_partitions(df: DataFrame, path: str, partition_columns: Sequence[s
 
 def merged(current: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``current`` replaced by those of ``updates`` with the same key."""
-    untouched = current.join(updates.select(*keys), list(keys), "left_anti")
+    untouched = current.join(updates.select(*keys).distinct(), list(keys), "left_anti")
     return untouched.unionByName(updates)
 
 
