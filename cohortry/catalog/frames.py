@@ -5,19 +5,15 @@ from __future__ import annotations
 from cohortry.catalog import experiment as experiment_queries
 from cohortry.catalog import uplift as uplift_queries
 from cohortry.catalog._base import digits, query
+from cohortry.catalog.uplift import periodic_uplift
 from cohortry.operators import experiment as exp
 from cohortry.operators import frames as frm
-from cohortry.sources.standins import Standins
 
 PARTS = uplift_queries.PARTS
 UPLIFT_SQL = uplift_queries._PERIODIC + uplift_queries._uplift_sql("stats")
 MATRIX_PERIODS = [f"{year}-{month:02d}-01" for year in (1999, 2000) for month in range(1, 13)]
 
 
-def _uplift(t: Standins):
-    return uplift_queries._frames(t).periodic_uplift
-
-
 def _band_sql(arm: str, s: str) -> str:
     return f""" SELECT period, variant, '{arm}' AS arm, n_{s} AS n_customers, avg_{s} AS mean,
        avg_{s} - 1.96 * std_{s} / SQRT(n_{s}) AS lower,
@@ -36,12 +32,12 @@ _LONG_SQL = " UNION ALL ".join(
     digits(d0=["lower", "upper"]),
 )
 def frm01_arm_bands(t):
-    return frm.arm_bands(_uplift(t))
+    return frm.arm_bands(periodic_uplift(t))
 
 
 @query(UPLIFT_SQL + _LONG_SQL)
 def frm02_contributions_long(t):
-    return frm.contributions_long(_uplift(t))
+    return frm.contributions_long(periodic_uplift(t))
 
 
 @query(
@@ -56,7 +52,7 @@ SELECT *, base + contribution AS top FROM (
     FROM placed p)"""
 )
 def frm03_stacked(t):
-    return frm.stacked_contributions(frm.contributions_long(_uplift(t)), PARTS)
+    return frm.stacked_contributions(frm.contributions_long(periodic_uplift(t)), PARTS)
 
 
 @query(
@@ -73,7 +69,7 @@ SELECT product, """
     + " FROM cells GROUP BY product"
 )
 def frm04_contribution_matrix(t):
-    return frm.contribution_matrix(_uplift(t), "treatment", MATRIX_PERIODS)
+    return frm.contribution_matrix(periodic_uplift(t), "treatment", MATRIX_PERIODS)
 
 
 @query(
@@ -85,7 +81,7 @@ FROM (SELECT COUNT(DISTINCT period) AS periods,
     digits(d6=["avg_gap_days"]),
 )
 def frm05_grain(t):
-    return frm.grain_of(_uplift(t))
+    return frm.grain_of(periodic_uplift(t))
 
 
 @query(

@@ -11,15 +11,19 @@ PARTS = list(TOTAL.parts)
 GRAIN = "month"
 
 
-def _frames(t: Standins) -> up.UpliftFrames:
-    return up.metric_uplift(t.exposure, t.facts, TOTAL, ROLLOUT, grain=GRAIN)
-
-
 def _periods(t: Standins, grain: str = GRAIN):
     metrics = {up.MAIN: TOTAL.metric, **TOTAL.parts}
     return up.customer_periods(t.facts, t.exposure, metrics, ROLLOUT, grain=grain)
 
 
+def _periodic_stats(t: Standins):
+    return up.period_stats(_periods(t), parts={a: a for a in PARTS})
+
+
+def periodic_uplift(t: Standins):
+    return up.stats_uplift(_periodic_stats(t), PARTS)
+
+
 # --------------------------------------------------------------------------
 # SQL side
 # --------------------------------------------------------------------------
@@ -100,7 +104,8 @@ _CUMULATIVE = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "running", "cum
 
 @query(_CUMULATIVE + _uplift_sql("stats") + " SELECT * FROM uplift", DIFFERENCE_DIGITS)
 def upl01_metric_uplift(t):
-    return _frames(t).cumulative_uplift.orderBy("period", "variant")
+    frames = up.metric_uplift(t.exposure, t.facts, TOTAL, ROLLOUT, grain=GRAIN)
+    return frames.cumulative_uplift.orderBy("period", "variant")
 
 
 @query(with_relations("first_seen") + " SELECT * FROM first_seen")
@@ -125,7 +130,7 @@ def upl05_cumulative(t):
 
 @query(_PERIODIC + " SELECT * FROM stats", STATS_DIGITS)
 def upl06_period_stats(t):
-    return _frames(t).periodic_stats.orderBy("period", "variant")
+    return _periodic_stats(t).orderBy("period", "variant")
 
 
 @query(
@@ -144,7 +149,7 @@ def upl07_welch_uplift(t):
     + " FROM uplift"
 )
 def upl08_contributions(t):
-    return _frames(t).periodic_uplift.select(
+    return periodic_uplift(t).select(
         "period", "variant", *[f"uplift_{a}" for a in PARTS]
     )
 

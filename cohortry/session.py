@@ -55,6 +55,8 @@ def local_session(app: str, cores: str = "*", partitions: int = 8, **extra: str)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "8g")
+        # Call-site capture costs several driver round trips per expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
