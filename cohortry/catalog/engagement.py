@@ -18,7 +18,7 @@ from cohortry.sources.standins import (
 JOURNEY = "journey-3"
 
 
-def _comms(t: Standins):
+def normalised_comms(t: Standins):
     scope = (COMMS_SEGMENT, COMMS_START, COMMS_END)
     return eng.union_all(
         [
@@ -100,7 +100,7 @@ def eng05_conversions(t):
 
 @query(with_relations("comms") + " SELECT * FROM comms")
 def eng06_normalised_channels(t):
-    return _comms(t)
+    return normalised_comms(t)
 
 
 @query(with_relations("core_campaigns") + " SELECT * FROM core_campaigns")
@@ -119,7 +119,7 @@ GROUP BY d.product, c.stage, c.channel""",
     digits(d8=["delivery_rate", "engagement_rate"]),
 )
 def eng08_channel_performance(t):
-    return eng.channel_performance(_comms(t), eng.campaign_dimension(t.campaign_dim, COMMS_SEGMENT))
+    return eng.channel_performance(normalised_comms(t), eng.campaign_dimension(t.campaign_dim, COMMS_SEGMENT))
 
 
 @query(

@@ -38,15 +38,15 @@ def _assigned(t: Standins):
     return exp.attach_assignment(_base(t), t.holdout, EXCLUDED_SEGMENT)
 
 
-def _metrics(t: Standins, extra=()):
+def cell_metrics(t: Standins, extra=()):
     return exp.cell_metrics(_accounts(t), t.holdout, EXCLUDED_SEGMENT, extra)
 
 
 def _significance(t: Standins, cell):
-    return exp.default_rate_significance(_metrics(t, cell[1:]), cell)
+    return exp.default_rate_significance(cell_metrics(t, cell[1:]), cell)
 
 
-def _slim(t: Standins, cell):
+def slim(t: Standins, cell):
     return exp.side_by_side(_significance(t, cell), cell)
 
 
@@ -129,14 +129,14 @@ def _both_sql(cell: list[str]) -> str:
     )
 
 
-def _slim_sql(cell: list[str]) -> str:
+def slim_sql(cell: list[str]) -> str:
     """CTEs up to ``slim``: treatment and control side by side."""
     on = " AND ".join(f"t.{k} = c.{k}" for k in cell)
     arms = ",\n".join(
-        f"t.{s} AS {d}_treatment, c.{s} AS {d}_control" for s, d in exp._ARM_COLUMNS.items()
+        f"t.{s} AS {d}_treatment, c.{s} AS {d}_control" for s, d in exp.ARM_COLUMNS.items()
     )
     deltas = ",\n".join(
-        ", ".join(f"t.{p}_{m}" for p in exp._DELTA_COLUMNS) + f", t.{m}_stat_sig"
+        ", ".join(f"t.{p}_{m}" for p in exp.DELTA_COLUMNS) + f", t.{m}_stat_sig"
         for m in ("unit_risk_rate", "balance_risk_ratio")
     )
     keys = ", ".join(f"t.{k}" for k in cell)
@@ -189,7 +189,7 @@ SLIM_DIGITS = digits(
     ]
     + [
         f"{prefix}_{m}"
-        for prefix in exp._DELTA_COLUMNS
+        for prefix in exp.DELTA_COLUMNS
         for m in ("unit_risk_rate", "balance_risk_ratio")
     ],
 )
@@ -227,7 +227,7 @@ def exp05_group_metrics(t):
 
 @query(_metrics_sql(KEYS[1]) + " SELECT * FROM metrics", CELL_DIGITS)
 def exp06_unit_rate(t):
-    return _metrics(t)
+    return cell_metrics(t)
 
 
 @query(
@@ -236,7 +236,7 @@ def exp06_unit_rate(t):
     {**CELL_DIGITS, **_block_digits("unit_risk_rate")},
 )
 def exp07_sig_proportion(t):
-    return exp.with_significance(_metrics(t), exp.UNIT_RISK, SEGMENT_CELL)
+    return exp.with_significance(cell_metrics(t), exp.UNIT_RISK, SEGMENT_CELL)
 
 
 @query(
@@ -263,7 +263,7 @@ def exp08_sig_sum(t):
         "sum",
         stddev="stddev_outstanding_balance_per_client",
     )
-    return exp.with_significance(_metrics(t), metric, SEGMENT_CELL)
+    return exp.with_significance(cell_metrics(t), metric, SEGMENT_CELL)
 
 
 @query(
@@ -272,7 +272,7 @@ def exp08_sig_sum(t):
     {**CELL_DIGITS, **_block_digits("balance_risk_ratio")},
 )
 def exp09_sig_ratio(t):
-    return exp.with_significance(_metrics(t), exp.BALANCE_RISK, SEGMENT_CELL)
+    return exp.with_significance(cell_metrics(t), exp.BALANCE_RISK, SEGMENT_CELL)
 
 
 @query(
@@ -294,7 +294,7 @@ def exp09_sig_ratio(t):
     {**CELL_DIGITS, **digits(d7=["avg_balance"]), **_block_digits("avg_balance", absolute=7)},
 )
 def exp10_sig_mean(t):
-    averaged = _metrics(t).withColumn(
+    averaged = cell_metrics(t).withColumn(
         "avg_balance", ratio(F.col("total_balance"), F.col("unique_customers"))
     )
     metric = exp.Metric(
@@ -312,9 +312,9 @@ def exp11_significance_block(t):
     return _significance(t, SEGMENT_CELL)
 
 
-@query(_slim_sql(SEGMENT_CELL) + " SELECT * FROM slim", SLIM_DIGITS)
+@query(slim_sql(SEGMENT_CELL) + " SELECT * FROM slim", SLIM_DIGITS)
 def exp12_side_by_side(t):
-    return _slim(t, SEGMENT_CELL).orderBy(*SEGMENT_CELL)
+    return slim(t, SEGMENT_CELL).orderBy(*SEGMENT_CELL)
 
 
 @query(_both_sql(TAG_CELL) + " SELECT * FROM significance", BOTH_DIGITS)
@@ -323,9 +323,9 @@ def exp13_metrics_by_tag(t):
 
 
 @query(
-    _slim_sql(TAG_CELL)
+    slim_sql(TAG_CELL)
     + ",\nsegment_delta AS ("
-    + _slim_sql(SEGMENT_CELL)
+    + slim_sql(SEGMENT_CELL)
     + """ SELECT segment, delta_abs_unit_risk_rate AS total_delta FROM slim)
 SELECT s.* EXCLUDE (account_tag), s.account_tag AS "group",
        s.delta_abs_unit_risk_rate / NULLIF(d.total_delta, 0) AS share_defaulted
@@ -336,16 +336,16 @@ def exp14_contribution_share(t):
     # Both levels start from the same client rows, whose exchange is reused.
     clients = exp.client_totals(_accounts(t), [exp.TAG])
 
-    def slim(cell):
+    def level(cell):
         metrics = exp.cell_metrics(clients, t.holdout, EXCLUDED_SEGMENT, cell[1:])
         return exp.side_by_side(exp.default_rate_significance(metrics, cell), cell)
 
-    shares = exp.with_contribution_share(slim(TAG_CELL), slim(SEGMENT_CELL))
+    shares = exp.with_contribution_share(level(TAG_CELL), level(SEGMENT_CELL))
     return shares.orderBy("segment", "group")
 
 
 @query(
-    _slim_sql(SEGMENT_CELL)
+    slim_sql(SEGMENT_CELL)
     + " UNION ALL ".join(
         f""" SELECT segment, 'total' AS "group", '{m}' AS metric_name,
         total_holdout_treatment + total_holdout_control AS total_segment_holdout,
@@ -360,7 +360,7 @@ def exp14_contribution_share(t):
     digits(d8=["delta_relative", "IC_lower", "IC_upper"]),
 )
 def exp15_long_summary(t):
-    return exp.long_summary(_slim(t, SEGMENT_CELL)).orderBy(*exp.summary_order())
+    return exp.long_summary(slim(t, SEGMENT_CELL)).orderBy(*exp.summary_order())
 
 
 @query(

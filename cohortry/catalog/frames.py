@@ -10,7 +10,7 @@ from cohortry.operators import experiment as exp
 from cohortry.operators import frames as frm
 
 PARTS = uplift_queries.PARTS
-UPLIFT_SQL = uplift_queries._PERIODIC + uplift_queries._uplift_sql("stats")
+UPLIFT_SQL = uplift_queries.PERIODIC_SQL + uplift_queries.uplift_sql("stats")
 MATRIX_PERIODS = [f"{year}-{month:02d}-01" for year in (1999, 2000) for month in range(1, 13)]
 
 
@@ -85,7 +85,7 @@ def frm05_grain(t):
 
 
 @query(
-    experiment_queries._slim_sql(experiment_queries.SEGMENT_CELL)
+    experiment_queries.slim_sql(experiment_queries.SEGMENT_CELL)
     + " UNION ALL ".join(
         f""" SELECT segment, '{m}' AS metric_name, delta_relative_{m} * 100 AS delta,
         IC_lower_rel_{m} * 100 AS lower, IC_upper_rel_{m} * 100 AS upper,
@@ -95,5 +95,5 @@ def frm05_grain(t):
     digits(d6=["delta", "lower", "upper"]),
 )
 def frm06_forest_rows(t):
-    slim = experiment_queries._slim(t, experiment_queries.SEGMENT_CELL)
+    slim = experiment_queries.slim(t, experiment_queries.SEGMENT_CELL)
     return frm.forest_rows(exp.long_summary(slim))

@@ -74,7 +74,7 @@ FROM (SELECT *, 1.96 * se_uplift AS moe_95, uplift / NULLIF(ABS(avg_c), 0) * 100
             FROM paired))"""
 
 
-def _uplift_sql(stats: str, aliases: list[str] = PARTS) -> str:
+def uplift_sql(stats: str, aliases: list[str] = PARTS) -> str:
     """Self-join of treatment and control stats, then the difference columns."""
     parts = "".join(f", t.avg_{a} AS avg_{a}_t, c.avg_{a} AS avg_{a}_c" for a in aliases)
     contributions = "".join(f", avg_{a}_t - avg_{a}_c AS uplift_{a}" for a in aliases)
@@ -93,8 +93,8 @@ uplift AS ({_difference_sql(contributions)})"""
 STATS_DIGITS = digits(d0=["std_metric", "se", "moe_95"])
 DIFFERENCE_DIGITS = digits(d0=["std_t", "std_c", "se_uplift", "moe_95", "ci_lower", "ci_upper"])
 
-_PERIODIC = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "periods", "")
-_CUMULATIVE = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "running", "cum_")
+PERIODIC_SQL = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "periods", "")
+CUMULATIVE_SQL = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "running", "cum_")
 
 
 # --------------------------------------------------------------------------
@@ -102,7 +102,7 @@ _CUMULATIVE = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "running", "cum
 # --------------------------------------------------------------------------
 
 
-@query(_CUMULATIVE + _uplift_sql("stats") + " SELECT * FROM uplift", DIFFERENCE_DIGITS)
+@query(CUMULATIVE_SQL + uplift_sql("stats") + " SELECT * FROM uplift", DIFFERENCE_DIGITS)
 def upl01_metric_uplift(t):
     frames = up.metric_uplift(t.exposure, t.facts, TOTAL, ROLLOUT, grain=GRAIN)
     return frames.cumulative_uplift.orderBy("period", "variant")
@@ -128,13 +128,13 @@ def upl05_cumulative(t):
     return up.with_running_totals(_periods(t), list(_TOTAL_COLUMNS))
 
 
-@query(_PERIODIC + " SELECT * FROM stats", STATS_DIGITS)
+@query(PERIODIC_SQL + " SELECT * FROM stats", STATS_DIGITS)
 def upl06_period_stats(t):
     return _periodic_stats(t).orderBy("period", "variant")
 
 
 @query(
-    _PERIODIC + _uplift_sql("stats", []) + " SELECT * FROM uplift",
+    PERIODIC_SQL + uplift_sql("stats", []) + " SELECT * FROM uplift",
     DIFFERENCE_DIGITS,
 )
 def upl07_welch_uplift(t):
@@ -142,8 +142,8 @@ def upl07_welch_uplift(t):
 
 
 @query(
-    _PERIODIC
-    + _uplift_sql("stats")
+    PERIODIC_SQL
+    + uplift_sql("stats")
     + " SELECT period, variant, "
     + ", ".join(f"uplift_{a}" for a in PARTS)
     + " FROM uplift"
@@ -230,7 +230,7 @@ daily AS (
     WHERE f.date >= DATE '{PRE_START}' AND f.date < DATE '{ROLLOUT}'
     GROUP BY f.customer_id, f.date, h.variant)"""
     + _stats_sql("stats", "daily", "")
-    + _uplift_sql("stats")
+    + uplift_sql("stats")
     + f""" SELECT period, variant, n_t, n_c, ROUND(avg_t, 4) AS avg_treatment,
        ROUND(avg_c, 4) AS avg_control, ROUND(uplift, 4) AS uplift,
        ROUND(uplift_pct, 2) AS uplift_pct, stat_sig,

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.catalog.engagement import _comms
+from cohortry.catalog.engagement import normalised_comms
 from cohortry.operators import engagement as eng
 from cohortry.sources.standins import COMMS_SEGMENT
 from tests.support import one, rows, same_rows
@@ -65,7 +65,7 @@ def test_eligible_keeps_null_keys(spark):
 
 def test_channel_performance_equals_row_join(spark, small):
     """Also when the dimension lists a campaign twice."""
-    comms = _comms(small)
+    comms = normalised_comms(small)
     dimension = eng.campaign_dimension(small.campaign_dim, COMMS_SEGMENT)
     doubled = dimension.unionByName(
         dimension.filter("campaign_name = 'campaign-7'").withColumn("branch_id", F.lit("again"))

@@ -220,9 +220,9 @@ def test_unknown_kind(spark):
 
 
 def test_side_by_side_keeps_cells_without_control(spark, small):
-    from cohortry.catalog.experiment import _metrics
+    from cohortry.catalog.experiment import cell_metrics
 
-    metrics = _metrics(small).filter(
+    metrics = cell_metrics(small).filter(
         (F.col("segment") != "BUILDING") | (F.col("variant") != "control")
     )
     slim = exp.side_by_side(exp.default_rate_significance(metrics, ["segment"]), ["segment"])
