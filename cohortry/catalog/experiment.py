@@ -77,15 +77,12 @@ metrics AS (
     FROM grouped g JOIN sizes s ON g.segment = s.segment AND g.variant = s.variant)"""
 
 
-_RATIO_VARIANCE = """unique_customers * GREATEST(
-    POW(stddev_outstanding_balance_per_client, 2)
-    + POW(balance_risk_ratio, 2) * POW(stddev_total_balance_per_client, 2)
-    - 2 * balance_risk_ratio * cov_outstanding_total_per_client,
-    CASE WHEN stddev_total_balance_per_client IS NULL THEN NULL ELSE 0 END)
+_SQUARES = """(POW(stddev_outstanding_balance_per_client, 2)
+    + POW(balance_risk_ratio, 2) * POW(stddev_total_balance_per_client, 2))"""
+_SPREAD = f"({_SQUARES} - 2 * balance_risk_ratio * cov_outstanding_total_per_client)"
+_RATIO_VARIANCE = f"""unique_customers
+    * CASE WHEN {_SPREAD} < {_SQUARES} * 1e-12 THEN 0 ELSE {_SPREAD} END
     / POW(total_balance, 2)"""
-_RATIO_VARIANCE_SAFE = (
-    f"CASE WHEN stddev_total_balance_per_client IS NOT NULL THEN {_RATIO_VARIANCE} END"
-)
 _UNIT_VARIANCE = "unit_risk_rate * (1 - unit_risk_rate) / total_holdout"
 
 
@@ -117,7 +114,7 @@ def _significance_sql(source: str, cell: list[str], metrics: list[tuple[str, str
 
 BOTH = [
     ("unit_risk_rate", "unit_risk_rate", _UNIT_VARIANCE),
-    ("balance_risk_ratio", "balance_risk_ratio", _RATIO_VARIANCE_SAFE),
+    ("balance_risk_ratio", "balance_risk_ratio", _RATIO_VARIANCE),
 ]
 KEYS = {1: "segment, variant", 2: "segment, variant, account_tag"}
 

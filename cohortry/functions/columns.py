@@ -13,7 +13,7 @@ __all__ = [
     "any_like",
     "any_true",
     "bucket_floor",
-    "clamp_negative",
+    "cancelled_difference",
     "compound_cost",
     "first_match",
     "flag",
@@ -43,9 +43,14 @@ def square(value: Column) -> Column:
     return value * value
 
 
-def clamp_negative(value: Column) -> Column:
-    """Zero for a value that cancellation left just below zero; null stays null."""
-    return F.when(value < 0, F.lit(0.0)).otherwise(value)
+def cancelled_difference(minuend: Column, subtrahend: Column) -> Column:
+    """Difference of two terms, zero where only their rounding error is left.
+
+    Never negative; null stays null. Without it a square root would blow up
+    noise that depends on the order of addition.
+    """
+    difference = minuend - subtrahend
+    return F.when(difference < minuend * F.lit(1e-12), F.lit(0.0)).otherwise(difference)
 
 
 def flag(condition: Column) -> Column:
