@@ -29,7 +29,8 @@ def test_query_matches_sql(spark, connection, name):
 
 def test_entry_contract(spark):
     queries, oracles = entry_module.queries(), entry_module.oracle_sql()
-    assert set(queries) - set(oracles) == WITHOUT_SQL
+    assert set(CATALOG) - set(oracles) == WITHOUT_SQL
+    assert set(CATALOG) <= set(queries)
     assert set(oracles) <= set(queries)
     flagship = entry_module.entry(spark)
     assert flagship.columns and flagship.count() > 0
