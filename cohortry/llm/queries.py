@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import main_text, mixing, url_filter
+from cohortry.llm import decontamination, main_text, mixing, url_filter
 from cohortry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,43 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+_WORDS_SQL = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'),"
+    f" '{decontamination.WORD}')"
+)
+DECONTAMINATION_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
+items AS (SELECT item_id, {_WORDS_SQL} AS words FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, length,
+    array_to_string(words[start + 1 : start + length], ' ') AS run
+  FROM (SELECT item_id, words, least(len(words), 13) AS length,
+          unnest(range(0, len(words) - least(len(words), 13) + 1)) AS start
+        FROM items WHERE len(words) > 0)),
+doc_windows AS (
+  SELECT doc_id, start, length, array_to_string(words[start + 1 : start + length], ' ') AS run
+  FROM (SELECT doc_id, words, length, unnest(range(0, len(words) - length + 1)) AS start
+        FROM docs CROSS JOIN (SELECT DISTINCT length FROM item_windows))),
+hits AS (SELECT DISTINCT doc_id, start, doc_windows.length, item
+         FROM doc_windows JOIN item_windows USING (run)),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(start, start + length)) AS place FROM hits) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT docs.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
+@query(DECONTAMINATION_SQL)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.judged(docs, table(spark, sf_dir, "benchmark")).drop("_text")
+
+
 @query()
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(table(spark, sf_dir, "pages"), keys=["page_id", "url"])
