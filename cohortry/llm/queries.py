@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import decontamination, main_text, mixing, url_filter
+from cohortry.llm import decontamination, main_text, mixing, personal_data, url_filter
 from cohortry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(table(spark, sf_dir, "pages"), keys=["page_id", "url"])
+
+
+@query()
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.detected(table(spark, sf_dir, "documents").select("doc_id", "text"))
