@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import decontamination, main_text, mixing, personal_data, url_filter
+from cohortry.llm import decontamination, main_text, mixing, near_duplicates, personal_data, url_filter
 from cohortry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.detected(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))

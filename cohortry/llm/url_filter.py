@@ -27,8 +27,9 @@ from cohortry.llm.common import LOWER, UPPER, ascii_lower
 
 ALLOW, BLOCK = "allow", "block"
 
-# The trie is sent to every executor. Larger rule sets are joined instead.
-MOST_BROADCAST_RULES = 500_000
+# The rules are sent to every executor, and each task builds the trie from
+# them. Larger rule sets are joined instead.
+MOST_BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -128,12 +129,14 @@ def judge(
     """Key columns, host, path, rule and verdict of every row."""
     if len(rules) > most_broadcast_rules:
         return judge_by_join(df, rules, keys, url, default)
-    trie = df.sparkSession.sparkContext.broadcast(build_trie(rules))
+    listed = [(r.verdict, r.host, r.path) for r in rules]
+    sent = df.sparkSession.sparkContext.broadcast(listed)
 
     @F.pandas_udf("rule string, verdict string")
     def judged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        trie = build_trie(Rule(*rule) for rule in sent.value)
         for hosts, paths in parts:
-            found = [longest_match(trie.value, h, p) for h, p in zip(hosts, paths, strict=True)]
+            found = [longest_match(trie, h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(
                 {
                     "rule": [r.place if r else None for r in found],
