@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import decontamination, main_text, mixing, near_duplicates, personal_data, url_filter
+from cohortry.llm import decontamination, main_text, mixing, near_duplicates, personal_data, quality, toxicity, url_filter
 from cohortry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,13 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.graded_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
