@@ -6,8 +6,8 @@ toxic and clean documents every feature occurs, and the features that tell the
 two apart best (likelihood ratio) are kept.
 
 Labels only mark toxic rows, so grades are made from them: clean rows have grade
-0, toxic rows 1 to ``grades``, by how often per word features enriched in toxic
-documents occur, in equal parts. The regression shares one weight vector across the ordered
+0, toxic rows 1 to ``grades``, in equal parts by how often features enriched in
+toxic documents occur. The regression shares one weight vector across the ordered
 thresholds: P(grade > k) = logistic(w x - t_k), t_0 < t_1 < ... The severity of
 a document is its expected grade, the sum of these; a document is rejected if the
 severity reaches a limit.
@@ -40,13 +40,16 @@ BEGINNINGS = (4, 5, 6)
 WHOLE = "$"
 
 GRADES = 3
-REJECTED = 0.5
+# A row of two toxic words in a long text is near this expected grade.
+REJECTED = 0.35
 ROWS_PER_CLASS = 3_000
 FEATURES = 512
-LEAST_DOCUMENTS = 3
-STEPS = 400
+LEAST_DOCUMENTS = 5
+# What chance alone reaches about once among a million features.
+LEAST_RATIO = 25.0
+STEPS = 600
 RATE = 0.1
-PENALTY = 1e-4
+PENALTY = 1e-5
 
 
 @dataclass
@@ -75,10 +78,9 @@ class Reader:
         self.heads = {f.removesuffix(WHOLE)[: BEGINNINGS[0]] for f in features}
         self.words = re.compile(WORD)
         self.fold = str.maketrans(UPPER, LOWER)
-        self.known: dict[str, list[int]] = {}
 
-    def count(self, text: str | None) -> tuple[Counter, int]:
-        """Occurrences per feature, and the number of words."""
+    def count(self, text: str | None) -> Counter:
+        """Occurrences per feature."""
         words = self.words.findall((text or "").translate(self.fold))
         found: Counter = Counter()
         head = BEGINNINGS[0]
@@ -86,7 +88,7 @@ class Reader:
             for feature in features_of(word):
                 if feature in self.features:
                     found[self.features[feature]] += times
-        return found, len(words)
+        return found
 
 
 def labelled(labels: DataFrame, label: str) -> DataFrame:
@@ -133,6 +135,7 @@ def chosen_features(sample: DataFrame, sizes: dict[int, int], most: int) -> list
             more.alias("more"),
             likelihood_ratio(F.col("toxic"), F.col("clean"), sizes[1], sizes[0]).alias("ratio"),
         )
+        .where(F.col("ratio") >= LEAST_RATIO)
         .orderBy(F.col("ratio").desc(), "feature")
         .limit(most)
         .collect()
@@ -146,12 +149,12 @@ def _beginnings(words: Column, length: int) -> Column:
     )
 
 
-def graded(labels: np.ndarray, rates: np.ndarray, grades: int) -> np.ndarray:
-    """0 for clean rows; toxic ones by their rank, in equal parts, ties together."""
+def graded(labels: np.ndarray, found: np.ndarray, grades: int) -> np.ndarray:
+    """0 for clean rows; toxic ones by their rank in ``found``, ties together."""
     result = np.zeros(len(labels), int)
     toxic = labels == 1
-    bounds = np.quantile(rates[toxic], np.arange(1, grades) / grades)
-    result[toxic] = 1 + np.searchsorted(bounds, rates[toxic], side="left")
+    bounds = np.quantile(found[toxic], np.arange(1, grades) / grades)
+    result[toxic] = 1 + np.searchsorted(bounds, found[toxic], side="left")
     return result
 
 
@@ -208,9 +211,8 @@ def trained(
                 {
                     "doc_id": batch["doc_id"],
                     "_label": batch["_label"],
-                    "words": [words for _, words in found],
-                    "features": [list(f.keys()) for f, _ in found],
-                    "times": [list(f.values()) for f, _ in found],
+                    "features": [list(f.keys()) for f in found],
+                    "times": [list(f.values()) for f in found],
                 }
             )
 
@@ -218,19 +220,22 @@ def trained(
     rows = (
         sample.mapInPandas(
             counted,
-            f"doc_id {kind}, _label int, words long, features array<int>, times array<int>",
+            f"doc_id {kind}, _label int, features array<int>, times array<int>",
         )
         .toPandas()
-        .sort_values(["doc_id", "words"], ignore_index=True)
+    )
+    # Additions in one order, whatever the order of the tasks.
+    rows["order"] = [str((list(f), list(t))) for f, t in zip(rows["features"], rows["times"], strict=True)]
+    rows = rows.sort_values(["doc_id", "order"], ignore_index=True
     )
     x = np.zeros((len(rows), len(features)))
     for i, (at, times) in enumerate(zip(rows["features"], rows["times"], strict=True)):
         x[i, np.asarray(at, int)] = np.asarray(times, float)
     given = rows["_label"].to_numpy()
-    rates = x[:, enriched].sum(1) / np.maximum(rows["words"].to_numpy(), 1)
+    found = x[:, enriched].sum(1)
     total = sum(counts.values())
     share = np.array([counts[c] / total * len(rows) / sizes[c] for c in (0, 1)])
-    weights, thresholds = fitted(np.log1p(x), graded(given, rates, grades), share[given], grades)
+    weights, thresholds = fitted(np.log1p(x), graded(given, found, grades), share[given], grades)
     return Model(features, weights, thresholds)
 
 
@@ -244,7 +249,7 @@ def severity_of(docs: DataFrame, model: Model | None) -> Column:
         held = Model(*sent.value)
         reader = Reader(held.features)
         for texts in batches:
-            yield pd.Series([held.severity(reader.count(text)[0]) for text in texts], dtype=float)
+            yield pd.Series([held.severity(reader.count(text)) for text in texts], dtype=float)
 
     return severity(docs["text"])
 
