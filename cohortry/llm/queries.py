@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import decontamination, main_text, mixing, near_duplicates, personal_data, quality, toxicity, url_filter
+from cohortry.llm import decontamination, main_text, mixing, near_duplicates, neighbours, personal_data, quality, toxicity, url_filter
 from cohortry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.graded_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100)
