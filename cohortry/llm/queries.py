@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import decontamination, main_text, mixing, near_duplicates, neighbours, personal_data, quality, toxicity, url_filter
+from cohortry.llm import decontamination, main_text, mixing, near_duplicates, neighbours, personal_data, quality, repeated_spans, toxicity, url_filter
 from cohortry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,28 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100)
+
+
+REPEATED_SPANS_SQL = """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, start, array_to_string(words[start + 1 : start + 13], ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(0, len(words) - 12)) AS start FROM docs)),
+first AS (SELECT run, min(doc_id) AS doc_id FROM windows GROUP BY run),
+gone AS (
+  SELECT DISTINCT windows.doc_id, unnest(range(start, start + 13)) AS place
+  FROM windows JOIN first ON windows.run = first.run AND first.doc_id < windows.doc_id),
+listed AS (
+  SELECT doc_id, len(words) AS n_words, unnest(words) AS word, unnest(range(0, len(words))) AS place FROM docs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n
+  FROM listed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT docs.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""
+
+
+@query(REPEATED_SPANS_SQL)
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.digest(repeated_spans.cut_documents(table(spark, sf_dir, "documents")))
