@@ -18,19 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one ``spark.checkpoint.dir`` names. Where the setting is
-    absent, as in tests, the folder lies below the warehouse, which the
-    executors and the driver share as well.
+    Where the setting is absent, as in tests, it lies below the warehouse, which
+    the executors and the driver share as well.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the cluster's shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_SETTING, None)
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        context.setCheckpointDir(folder or f"{warehouse.rstrip('/')}/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from cohortry.llm import decontamination, main_text, mixing, near_duplicates, neighbours, personal_data, quality, repeated_spans, toxicity, url_filter
 from cohortry.llm.common import table
 
@@ -180,3 +181,8 @@ FROM docs LEFT JOIN kept USING (doc_id)"""
 @query(REPEATED_SPANS_SQL)
 def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.digest(repeated_spans.cut_documents(table(spark, sf_dir, "documents")))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
