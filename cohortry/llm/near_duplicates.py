@@ -318,8 +318,9 @@ def classes(
     sketches = cut(sketched(docs, idf, length, bands, rows))
     named = sketches.where("doc_id is not null and first is not null")
     node = F.struct("doc_id", "_text")
-    nodes = named.groupBy("first", "second").agg(
-        F.min(node).alias("node"), F.any_value("bands").alias("bands")
+    # Written on its own, so that Spark can split the join of many copies with it below.
+    nodes = cut(
+        named.groupBy("first", "second").agg(F.min(node).alias("node"), F.any_value("bands").alias("bands"))
     )
     buckets = cut(nodes.select(F.explode("bands").alias("key"), "node"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("_size")).where("_size > 1").select("key")

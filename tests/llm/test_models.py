@@ -1,0 +1,125 @@
+"""Toxicity grades and quality scores: held-out accuracy and awkward inputs."""
+
+import binascii
+
+import numpy as np
+import pytest
+
+from cohortry.llm import quality, toxicity
+from tests.llm.edges import awkward, documents, nothing, same_schema
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+def held_out(doc_id):
+    return binascii.crc32(str(doc_id).encode()) % 4 == 2
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
+
+
+def test_quality_on_the_held_out_fold(spark, tables):
+    docs, labels = tables
+    rows = quality.scored(docs, labels).collect()
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert all(r["held_out"] == held_out(r["doc_id"]) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    judged = [r["predicted"] == known[r["doc_id"]] for r in rows if r["held_out"] and r["doc_id"] in known]
+    assert len(judged) > 50 and np.mean(judged) >= 0.93
+
+
+def test_quality_does_not_read_held_out_labels(spark, tables):
+    docs, labels = tables
+    flipped = labels.selectExpr(
+        "doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - quality ELSE quality END AS quality"
+    )
+    few = docs.where("doc_id < 50")
+    networks = [quality.trained(docs, x, "quality", 40, 1 << 18) for x in (labels, flipped)]
+    assert np.array_equal(networks[0].filters, networks[1].filters)
+    assert few.count() == 50
+
+
+def test_network_gradients_match_differences():
+    network = quality.Network.start(1, 0.2)
+    network.filters = network.filters.astype(float)
+    data = quality.padded("Some bytes here, and a few more of them to fill two blocks or three. " * 2)
+
+    def loss(n):
+        pooled = np.maximum(quality.chunked(quality.highest_only(n.filters, data)) + n.offsets, 0)
+        p = quality.logistic(float(pooled.mean(0) @ n.mean_weights + pooled.max(0) @ n.max_weights) + n.bias)
+        return -np.log(p)
+
+    filters, offsets, means, highs, bias = quality.gradients(network, data, 1, 1.0)
+    step = 1e-5
+    for j, byte, f in [(0, ord("S"), 1), (2, ord("e"), 3), (5, ord(" "), 7), (1, ord("o"), 0)]:
+        kept = network.filters[j, byte, f]
+        network.filters[j, byte, f] = kept + step
+        up = loss(network)
+        network.filters[j, byte, f] = kept - step
+        down = loss(network)
+        network.filters[j, byte, f] = kept
+        assert filters[j, byte, f] == pytest.approx((up - down) / (2 * step), abs=1e-4)
+
+
+def test_chunks_cover_the_whole_text(spark):
+    network = quality.Network.start(1, 0.0)
+    network.filters[:] = 0
+    network.filters[0, ord("#"), 0] = 5
+    network.mean_weights[:] = 0
+    network.max_weights[:] = 0
+    network.max_weights[0] = 1
+    plain = "a" * 100_000
+    assert quality.probability(network, plain) == 0.5
+    for at in (0, 31, 32, 16_383, 16_384, 99_999):
+        assert quality.probability(network, plain[:at] + "#" + plain[at + 1 :]) > 0.99
+    assert quality.probability(network, None) == quality.probability(network, "") == 0.5
+
+
+def test_quality_of_awkward_rows(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame(
+        [(i, i % 2, None) for i in range(1, 11)] + [(None, 1, 1), (3, None, 1)],
+        "doc_id long, quality int, toxic int",
+    )
+    rows = quality.scored(docs, labels).collect()
+    assert len(rows) == 11 and all(0 <= r["score"] <= 1 for r in rows)
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
+    assert {r["score"] for r in quality.scored(docs, labels.where("quality = 1")).collect()} == {1.0}
+    assert {r["score"] for r in quality.scored(docs, labels.where("false")).collect()} == {0.5}
+    assert quality.scored(nothing(spark), labels).count() == 0
+
+
+def test_toxicity_on_the_held_out_fold(spark, tables):
+    docs, labels = tables
+    rows = toxicity.graded_documents(docs, labels).collect()
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    judged = [r["rejected"] == (known[r["doc_id"]] == 1) for r in rows if held_out(r["doc_id"]) and r["doc_id"] in known]
+    assert len(judged) > 50 and np.mean(judged) >= 0.9
+    clean = [r["rejected"] for r in rows if known.get(r["doc_id"]) == 0]
+    assert np.mean(clean) <= 0.01
+    assert all(0 <= r["severity"] <= 3 and r["grade"] == round(r["severity"]) for r in rows)
+
+
+def test_severity_rises_with_toxic_words(spark):
+    rows = [(i, f"plain text number {i} about nothing much", "s") for i in range(60)]
+    rows += [(100 + i, "a text with " + "vile " * (1 + i % 9) + f"words {i}", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _, _ in rows], "doc_id long, toxic int")
+    asked = documents(spark, [(n, "so " + "vile " * n + "here", "s") for n in range(10)])
+    model = toxicity.trained(documents(spark, rows), labels, "toxic", 1000, 50, 3)
+    scored = asked.select("doc_id", toxicity.severity_of(asked, model).alias("s")).collect()
+    severities = [r["s"] for r in sorted(scored)]
+    assert severities == sorted(severities)
+    assert severities[0] < 0.2 and severities[1] > 0.5 and severities[9] > severities[1] + 0.5
+    assert list(model.thresholds) == sorted(model.thresholds)
+
+
+def test_toxicity_of_awkward_rows(spark, tables):
+    docs = awkward(spark)
+    rows = toxicity.graded_documents(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(rows) == 11 and all(r["severity"] == 0 and not r["rejected"] for r in rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels)
+    assert same_schema(kept, docs) and kept.count() <= 11
+    assert toxicity.graded_documents(nothing(spark), labels).count() == 0
