@@ -81,7 +81,7 @@ def _low_half(hashes: np.ndarray) -> np.ndarray:
 def rows_of(owner: np.ndarray, place: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """Where a new row of neighbouring edges with one gram begins."""
     new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
+    new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
     since = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
     return np.flatnonzero(since % MOST_IN_ROW == 0)
@@ -124,8 +124,7 @@ def edge_rows(docs: DataFrame, frequent, span: int, gram: int, wanted: bool) ->
                 if not wanted:
                     common = ~common
                 owner, place, smallest, hashes = owner[common], place[common], smallest[common], hashes[common]
-                # A gap in the places ends a row as well.
-                begins = rows_of(owner, place - np.arange(len(place)) if len(place) else place, smallest)
+                begins = rows_of(owner, place, smallest)
                 if len(begins):
                     ends = np.append(begins, len(owner)).astype(np.int32)
                     yield pa.record_batch(
