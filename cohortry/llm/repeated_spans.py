@@ -278,8 +278,12 @@ def cut_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = cut(paths(sourced_pieces(docs, span, gram)))
     each = verified_paths(docs, found, span)
-    texts = docs.select("doc_id", "text")
+    # The same frame as at the sources, so the texts are shuffled once for both joins.
+    texts = known_documents(docs)
     joined = texts.join(each.withColumnRenamed("doc_id", "_id"), texts["doc_id"] == F.col("_id"), "left")
+    joined = joined.select("doc_id", "text", "paths").unionByName(
+        docs.select("doc_id", "text").where("doc_id is null"), allowMissingColumns=True
+    )
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +312,7 @@ def cut_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
                     }
                 )
 
-    return joined.select("doc_id", "text", "paths").mapInArrow(
+    return joined.mapInArrow(
         kept, f"doc_id {kind}, n_words long, n_removed long, kept string"
     )
 
