@@ -45,6 +45,19 @@ def small_enough(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def apart(df: DataFrame, other: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` under names that ``other`` does not use, and its columns by their old names."""
+    used = {c.lower() for c in other.columns}
+    names = {}
+    for column in df.columns:
+        name = f"{column}_"
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        names[column] = name
+    return df.withColumnsRenamed(names), {old: F.col(f"`{new}`") for old, new in names.items()}
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -28,7 +28,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import ascii_lower, cut, small_enough, text_key
+from cohortry.llm.common import apart, ascii_lower, cut, small_enough, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 13
@@ -234,6 +234,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> D
         .select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hit_text"))
         .distinct()
     )
-    rejected = small_enough(cut(found), MOST_BROADCAST_CANDIDATES)
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_hit_text"))
+    rejected, its = apart(small_enough(cut(found), MOST_BROADCAST_CANDIDATES), docs)
+    same = docs["doc_id"].eqNullSafe(its["_id"]) & (text_key(docs["text"]) == its["_hit_text"])
     return docs.join(rejected, same, "left_anti")

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import cut, small_enough
+from cohortry.llm.common import apart, cut, small_enough
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -39,13 +39,13 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(seed: int) -> Column:
+def draw(docs: DataFrame, seed: int) -> Column:
     """A uniform number in [0, 1) from the seed, doc_id and text."""
     named = F.concat_ws(
         ":",
         F.lit(str(seed)),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-        F.md5(F.coalesce("text", F.lit(""))),
+        F.coalesce(docs["doc_id"].cast("string"), F.lit("")),
+        F.md5(F.coalesce(docs["text"], F.lit(""))),
     )
     return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
@@ -105,7 +105,7 @@ def planned(
 ) -> DataFrame:
     """doc_id, size, source_size, target and the words taken, per document."""
     sized = cut(
-        docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw(seed).alias("_draw"))
+        docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw(docs, seed).alias("_draw"))
     )
     rates = rates_of(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, most_repeats)
     return sized.join(rates, sized["source"].eqNullSafe(rates["_source"])).select(
@@ -131,12 +131,8 @@ def mixed(
     """The documents themselves, each as often as the mix takes it."""
     sizes = docs.select("source", size_of(F.col("text")).alias("size"))
     rates = rates_of(sizes.groupBy("source").agg(F.sum("size").alias("size")), weights, most_repeats)
-    repeated = F.explode(F.array_repeat(F.lit(0), copies(F.col("_rate"), draw(seed))))
-    return (
-        docs.join(
-            rates.select("_source", "_rate"),
-            docs["source"].eqNullSafe(F.col("_source")),
-        )
-        .select(*[docs[c] for c in docs.columns], repeated.alias("_copy"))
-        .drop("_copy")
-    )
+    sides, its = apart(rates, docs)
+    times = F.array_repeat(F.lit(0), copies(its["_rate"], draw(docs, seed)))
+    joined = docs.join(sides, docs["source"].eqNullSafe(its["_source"]))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    return joined.select(F.explode(F.transform(times, lambda _: row)).alias("row")).select("row.*")

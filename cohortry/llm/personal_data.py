@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import cut, small_enough, text_key
+from cohortry.llm.common import apart, cut, small_enough, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -240,8 +240,8 @@ def discovered(
     )
 
 
-def _same_row(frame: DataFrame) -> Column:
-    return frame["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_added_text"))
+def _same_row(doc_id: Column, text: Column, its: dict[str, Column]) -> Column:
+    return doc_id.eqNullSafe(its["_id"]) & (text == its["_added_text"])
 
 
 def listed(spans: Column) -> Column:
@@ -266,7 +266,8 @@ def detected(docs: DataFrame, **settings) -> DataFrame:
         F.filter("_found", lambda m: m["kind"].isNotNull()),
         lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")),
     )
-    joined = mentioned.join(added, _same_row(mentioned), "left").withColumn("_base", plain)
+    same = _same_row(mentioned["doc_id"], mentioned["_text"], {c: F.col(c) for c in added.columns})
+    joined = mentioned.join(added, same, "left").withColumn("_base", plain)
     kinds = F.col("_base.kind")
     counts = [
         (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS
@@ -302,7 +303,9 @@ def masked(docs: DataFrame, **settings) -> DataFrame:
 
     mentioned = cut(read_mentions(docs))
     added = small_enough(cut(discovered(mentioned, **settings)), MOST_BROADCAST_DOCUMENTS)
-    keyed = docs.withColumn("_text", text_key(F.col("text")))
-    joined = keyed.join(added, _same_row(keyed), "left")
-    text = replaced(joined["text"], F.col("_added"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    sides, its = apart(added, docs)
+    joined = docs.join(sides, _same_row(docs["doc_id"], text_key(docs["text"]), its), "left")
+    kind = docs.schema["n_chars"].dataType
+    return joined.select(
+        *[docs[c] if c != "text" else replaced(docs["text"], its["_added"]).alias("text") for c in docs.columns]
+    ).withColumn("n_chars", F.length("text").cast(kind))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 # Names that the operators use inside.
 CLASHING = (
-    "_text size target taken rate draw score label key node low high words marks window rule verdict host"
+    "_id _source _rate _copy _added _text size target taken rate draw score label key node low high words marks window rule verdict host"
     " path first second bands edges place gram kept spans entry embedding_ list query rank severity grade"
 ).split()
 
