@@ -22,7 +22,7 @@ def connect(directory: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else value
+        return "NaN" if math.isnan(value) else value
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None)
     if isinstance(value, (list, tuple)):
