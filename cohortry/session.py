@@ -25,28 +25,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Shuffle and scan sizing. Adaptive execution merges shuffle partitions that
-# turn out small but does not split evenly large ones, so it must start from
-# enough of them. The caps keep the number of shuffle blocks manageable.
-SHUFFLE_PARTITION_BYTES = 256 << 20
-MOST_SHUFFLE_PARTITIONS = 20_000
-SCAN_SPLIT_BYTES = 128 << 20
-LARGEST_SCAN_SPLIT_BYTES = 1 << 30
-MOST_SCAN_TASKS = 200_000
-
-
-def size_for_input(spark: SparkSession, input_bytes: int) -> None:
-    """Raise shuffle partitions and scan splits to fit the input; never lower them."""
-    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    current = int(spark.conf.get(initial, None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(-(-input_bytes // SHUFFLE_PARTITION_BYTES), MOST_SHUFFLE_PARTITIONS)
-    if wanted > current:
-        spark.conf.set(initial, str(wanted))
-    split = min(-(-input_bytes // MOST_SCAN_TASKS), LARGEST_SCAN_SPLIT_BYTES)
-    if split > SCAN_SPLIT_BYTES:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
-
-
 def local_session(app: str, cores: str = "*", partitions: int = 8, **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (

@@ -33,12 +33,6 @@ class Registry:
             raise KeyError(f"no dataset named {name!r}")
         return self.spark.read.parquet(self.locations[name].format(**parameters))
 
-    def size(self, name: str) -> int:
-        """Bytes a dataset occupies, from the file system and not from the data."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.locations[name])
-        configuration = self.spark._jsc.hadoopConfiguration()
-        return path.getFileSystem(configuration).getContentSummary(path).getLength()
-
     def union(
         self, names: Iterable[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df
     ) -> DataFrame:

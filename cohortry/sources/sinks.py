@@ -2,34 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-# Application id -> temporary folder, for local sessions without the setting.
-_local_folders: dict[str, str] = {}
+# Takes a frame and a name, and returns the frame to go on with.
+Stage = Callable[[DataFrame, str], DataFrame]
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting: its executors and driver
-    are one machine, so a temporary folder is shared by definition.
+    Where the setting is absent, it lies below the warehouse, which the
+    executors and the driver share as well.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = tempfile.mkdtemp(prefix="cohortry-")
-    return _local_folders[application]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def new_location(spark: SparkSession, name: str) -> str:
@@ -81,6 +77,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class TableStages:
+    """Stages as tables of the catalog, which are dropped at the end.
+
+    ``with TableStages() as stage: report(..., stage=stage)`` keeps the tables as
+    long as the frames of the report are read.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        table = new_table_name(name)
+        self.tables.append((df.sparkSession, table))
+        df.write.saveAsTable(table)
+        return df.sparkSession.table(table)
+
+    def __enter__(self) -> TableStages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.tables:
+            spark, table = self.tables.pop()
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_columns: Sequence[str]) -> DataFrame:
     """Replace only the partitions present in ``df``; a re-run changes nothing.
 
@@ -98,11 +119,28 @@ def overwrite_partitions(df: DataFrame, path: str, partition_columns: Sequence[s
 
 
 def merged(current: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``current`` replaced by those of ``updates`` with the same key."""
+    """Rows of ``current`` replaced by those of ``updates`` with the same key.
+
+    Two updates of one key stop the job, since either could be meant. A null
+    key equals no other: its update is added, and its row in ``current`` stays.
+    """
+    columns = [c for c in updates.columns if c not in keys]
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    folded = updates.where(known).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_updates"), F.first(F.struct(*columns)).alias("_row")
+    )
+    refused = F.raise_error(F.lit(f"two updates of one key ({', '.join(keys)})"))
+    single = folded.withColumn("_row", F.when(F.col("_updates") == 1, F.col("_row")).otherwise(refused))
+    changed = single.select(*keys, "_row.*").unionByName(updates.where(~known))
     untouched = current.join(updates.select(*keys).distinct(), list(keys), "left_anti")
-    return untouched.unionByName(updates)
+    return untouched.unionByName(changed)
+
 
+def bounded_sample(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """``limit`` rows from all over the frame: the smallest hashes of the keys.
 
-def bounded_sample(df: DataFrame, fraction: float, limit: int, seed: int = 7) -> DataFrame:
-    """A sample to look at in place of collecting the frame."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed).limit(limit)
+    Each task keeps its ``limit`` first, so the sample reads the whole table and
+    sends little.
+    """
+    hashed = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    return df.orderBy(hashed, *keys).limit(limit)

@@ -1,30 +1,7 @@
 from cohortry import session
 
-INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-SPLIT = "spark.sql.files.maxPartitionBytes"
-
-
-def test_sizing_follows_the_input(spark):
-    other = spark.newSession()
-    session.configure(other)
-    before = other.conf.get(SPLIT)
-    session.size_for_input(other, 10 << 20)
-    assert other.conf.get(INITIAL, None) is None and other.conf.get(SPLIT) == before
-    session.size_for_input(other, 1 << 40)
-    assert int(other.conf.get(INITIAL)) == 4096
-    session.size_for_input(other, 1 << 30)
-    assert int(other.conf.get(INITIAL)) == 4096  # never lowered
-    session.size_for_input(other, 100 << 40)
-    assert int(other.conf.get(INITIAL)) == session.MOST_SHUFFLE_PARTITIONS
-    assert int(other.conf.get(SPLIT)) > session.SCAN_SPLIT_BYTES
-
 
 def test_configure_sets_what_the_operators_rely_on(spark):
     other = session.configure(spark.newSession())
     for key, value in session.RUNTIME_SETTINGS.items():
         assert other.conf.get(key) == value
-
-
-def test_dataset_size(small):
-    small.table("nation")
-    assert 0 < small.registry.size("nation") <= small.input_bytes

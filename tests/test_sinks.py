@@ -13,19 +13,10 @@ def test_folder_comes_from_the_session(spark):
     assert sinks.new_location(spark, "x").startswith(configured + "/x-")
 
 
-class _Session:
-    """Just enough of a session to ask for a folder without the setting."""
-
-    def __init__(self, master):
-        self.conf = types.SimpleNamespace(get=lambda key, default: default)
-        self.sparkContext = types.SimpleNamespace(master=master, applicationId=f"app-{master}")
-
-
-def test_cluster_without_the_setting_is_refused():
-    with pytest.raises(ValueError):
-        sinks.shared_folder(_Session("yarn"))
-    local = _Session("local[2]")
-    assert sinks.shared_folder(local) == sinks.shared_folder(local)
+def test_without_the_setting_the_folder_lies_below_the_warehouse():
+    settings = {"spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, *default: settings.get(key)))
+    assert sinks.shared_folder(session) == "hdfs://x/warehouse/_stages"
 
 
 def test_overwrite_table_replaces_schema(spark):
@@ -63,6 +54,15 @@ def test_merge(spark):
     updates = spark.createDataFrame([(2, "B"), (3, "C")], "k int, v string")
     merged = {(r["k"], r["v"]) for r in rows(sinks.merged(current, updates, ["k"]))}
     assert merged == {(1, "a"), (2, "B"), (3, "C"), (None, "n")}
+    added = sinks.merged(current, spark.createDataFrame([(None, "N")], "k int, v string"), ["k"])
+    assert {r["v"] for r in rows(added)} == {"a", "b", "n", "N"}
+
+
+def test_merge_refuses_two_updates_of_one_key(spark):
+    current = spark.createDataFrame([(1, "a")], "k int, v string")
+    twice = spark.createDataFrame([(1, "B"), (1, "C")], "k int, v string")
+    with pytest.raises(Exception, match="two updates"):
+        sinks.merged(current, twice, ["k"]).collect()
 
 
 def test_materialise_cuts_the_plan(spark):
@@ -73,7 +73,10 @@ def test_materialise_cuts_the_plan(spark):
 
 
 def test_sample_is_bounded(spark):
-    assert sinks.bounded_sample(spark.range(10_000), 0.5, 20).count() == 20
+    sample = [r["id"] for r in sinks.bounded_sample(spark.range(10_000), ["id"], 20).collect()]
+    assert len(set(sample)) == 20 and min(sample) < 3_000 and max(sample) > 7_000
+    again = sinks.bounded_sample(spark.range(10_000).repartition(5), ["id"], 20).collect()
+    assert {r["id"] for r in again} == set(sample)
 
 
 def test_registry(spark, small):
