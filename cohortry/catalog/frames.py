@@ -8,10 +8,11 @@ from cohortry.catalog._base import digits, query
 from cohortry.catalog.uplift import periodic_uplift
 from cohortry.operators import experiment as exp
 from cohortry.operators import frames as frm
+from cohortry.sources.standins import AS_OF, ROLLOUT
 
 PARTS = uplift_queries.PARTS
 UPLIFT_SQL = uplift_queries.PERIODIC_SQL + uplift_queries.uplift_sql("stats")
-MATRIX_PERIODS = [f"{year}-{month:02d}-01" for year in (1999, 2000) for month in range(1, 13)]
+MATRIX_PERIODS = frm.months_between(ROLLOUT, AS_OF)
 
 
 def _band_sql(arm: str, s: str) -> str:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from cohortry.catalog._base import digits, mean_sql, query
 from cohortry.operators import offers as off
-from cohortry.sources.standins import AS_OF, LOOKBACK_MONTHS, Standins, with_relations
+from cohortry.sources.standins import AS_OF, LOOKBACK_MONTHS, PRODUCT_RULES, Standins, with_relations
 
 
 def recent(t: Standins):
-    return off.recent_contracts(t.contracts, AS_OF, LOOKBACK_MONTHS)
+    return off.recent_contracts(t.contracts, AS_OF, PRODUCT_RULES, LOOKBACK_MONTHS)
 
 
 def base(t: Standins):

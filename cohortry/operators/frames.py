@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,17 +73,29 @@ def stacked_contributions(long: DataFrame, order: Sequence[str]) -> DataFrame:
 def contribution_matrix(
     uplift: DataFrame, variant: str, periods: Sequence[str], total: str = "Total"
 ) -> DataFrame:
-    """Products as rows, the given periods as columns, and a total row."""
+    """Products as rows, the given periods as columns, and a total row.
+
+    A row of a period that is not given stops the job rather than going missing.
+    """
     arm = uplift.filter(F.col("variant") == variant)
+    label = F.date_format(PERIOD, "yyyy-MM-dd")
+    outside = F.raise_error(F.concat(F.lit("period outside the matrix: "), label))
     return (
         contributions_long(arm.withColumnRenamed("uplift", f"uplift_{total}"))
-        .withColumn(PERIOD, F.date_format(PERIOD, "yyyy-MM-dd"))
+        .withColumn(PERIOD, F.when(label.isin(*periods), label).otherwise(outside))
         .groupBy("product")
         .pivot(PERIOD, list(periods))
         .agg(F.first("contribution"))
     )
 
 
+def months_between(start: str, end: str) -> list[str]:
+    """The first day of every month from the month of ``start`` to that of ``end``."""
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)
+    return [date(m // 12, m % 12 + 1, 1).isoformat() for m in months]
+
+
 def grain_of(frame: DataFrame, threshold_days: int = 15) -> DataFrame:
     """One row: the average gap between distinct periods, and the grain it implies."""
     return (

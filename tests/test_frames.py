@@ -3,6 +3,7 @@ import math
 
 import pytest
 
+from cohortry.catalog.uplift import periodic_uplift
 from cohortry.operators import frames as frm
 from tests.support import one, rows
 
@@ -51,3 +52,12 @@ def test_grain(spark, uplift):
     days = spark.createDataFrame([(dt.date(2020, 1, d),) for d in (1, 1, 2, 4)], "period date")
     assert one(frm.grain_of(days))["grain"] == "day"
     assert one(frm.grain_of(days.limit(1)))["grain"] == "month"
+
+
+def test_matrix_refuses_a_period_outside(small):
+    uplift = periodic_uplift(small)
+    periods = frm.months_between("1998-01-15", "2001-08-01")
+    assert periods[0] == "1998-01-01" and periods[-1] == "2001-08-01" and len(periods) == 44
+    assert frm.contribution_matrix(uplift, "treatment", periods).count() > 1
+    with pytest.raises(Exception, match="outside the matrix"):
+        frm.contribution_matrix(uplift, "treatment", periods[:24]).collect()

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,16 +10,19 @@ from tests.support import rows, same_rows
 
 CONTRACT = (
     "contract_id int, customer_id string, is_renegotiation boolean, is_valid_loan boolean, "
-    "product string, credit_program string, created_at_date date, principal double, "
+    "line string, program string, created_at_date date, principal double, "
     "interest_rate double, installments int"
 )
 
 
+RULES = (("line", "b", "backed"), ("program", "private", "private"), ("program", "social", "social"))
+
+
 def test_recent_contracts(spark):
     late, edge, old = dt.date(2020, 5, 1), dt.date(2019, 6, 1), dt.date(2019, 5, 31)
     df = spark.createDataFrame(
         [
-            (1, "a", False, True, "loan_backed", "private", late, 100.0, 0.1, 2),
+            (1, "a", False, True, "b", "private", late, 100.0, 0.1, 2),
             (2, "a", False, True, "x", "social", edge, 100.0, 0.1, 2),
             (3, "a", False, True, "x", "private", old, 100.0, 0.1, 2),
             (4, "a", True, True, "x", "private", late, 100.0, 0.1, 2),
@@ -28,7 +32,7 @@ def test_recent_contracts(spark):
         ],
         CONTRACT,
     )
-    got = rows(off.recent_contracts(df, "2020-06-01", 12), "contract_id")
+    got = rows(off.recent_contracts(df, "2020-06-01", RULES, 12), "contract_id")
     assert [(r["contract_id"], r["product_type"]) for r in got] == [(1, "backed"), (2, "social")]
     assert got[0]["total_debt_cost"] == 121.0
 
@@ -132,3 +136,24 @@ def test_mean_rounds_half_up_exactly(spark):
     df = spark.createDataFrame([("s", "b", 0.01, 0.1), ("s", "b", 0.02, 0.1)],
                                "contracted_product string, best_alternative_product string, max_saving double, max_saving_pct double")
     assert rows(off.segment_summary(df))[0]["avg_saving"] == 0.02
+
+
+@pytest.mark.parametrize("distinct", [1, 7, 40_000])
+def test_quartiles_are_exact(spark, distinct):
+    """Also with far more distinct values than one approximate pass can tell apart."""
+    number = F.col("id")
+    value = ((number * 7919 + 13) % distinct).cast("double") / 100
+    frame = spark.range(60_001).select(F.when(number % 5 == 0, 1.25).otherwise(value).alias("saving"))
+    values = sorted(r["saving"] for r in frame.collect())
+
+    def at(share):
+        return round(values[max(1, math.ceil(share * len(values))) - 1], 2)
+
+    (got,) = rows(off.savings_quartiles(frame))
+    assert (got["p25_saving"], got["median_saving"], got["p75_saving"]) == (at(0.25), at(0.5), at(0.75))
+    assert got["mean_saving"] == pytest.approx(sum(values) / len(values), abs=0.006)
+
+
+def test_quartiles_of_nothing(spark):
+    (got,) = rows(off.savings_quartiles(spark.createDataFrame([(None,)], "saving double")))
+    assert set(got.values()) == {None}
