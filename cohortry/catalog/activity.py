@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from cohortry.catalog._base import mean_sql, query
 from cohortry.functions import matching_lines, occurrences
 from cohortry.operators import activity as act
-from cohortry.sources.standins import MERGED_SINCE, Standins, with_relations
+from cohortry.sources.standins import (
+    FIELDS,
+    MERGED_SINCE,
+    SIGNATURES,
+    SINGLE_OUTPUT,
+    Standins,
+    with_relations,
+)
 
 
 def _merged(t: Standins):
@@ -15,11 +22,11 @@ def _merged(t: Standins):
 
 
 def _tooled(t: Standins):
-    return act.attributed(_merged(t))
+    return act.attributed(_merged(t), SIGNATURES)
 
 
 def _estimated(t: Standins):
-    return act.with_estimated_outputs(_tooled(t))
+    return act.with_estimated_outputs(_tooled(t), SINGLE_OUTPUT)
 
 
 _MONTH = "CAST(date_trunc('month', merged_at) AS DATE)"
@@ -82,7 +89,7 @@ def act05_lead_time(t):
 FROM tooled"""
 )
 def act06_request_list(t):
-    return act.request_list(_tooled(t))
+    return act.request_list(_tooled(t), ordered=False)
 
 
 @query(with_relations("estimated") + " SELECT * EXCLUDE (types, bullets) FROM estimated")
@@ -112,7 +119,7 @@ def act07_marker_counts(t):
 FROM estimated"""
 )
 def act08_output_list(t):
-    return act.output_list(_estimated(t))
+    return act.output_list(_estimated(t), ordered=False)
 
 
 @query(
@@ -138,19 +145,15 @@ def act10_outputs_to_date(t):
     return act.outputs_to_date(_estimated(t))
 
 
-def _extract_sql(column: str, fields: dict[str, str]) -> str:
-    """``regexp_extract`` per field; DuckDB keeps the null of a null text."""
-    return ", ".join(
-        f"regexp_extract({column}, '{pattern}', 1) AS {name}" for name, pattern in fields.items()
-    )
+# DuckDB keeps the null of a null text.
+_FIELDS_SQL = ", ".join(f"regexp_extract({f.column}, '{f.pattern}', 1) AS {f.name}" for f in FIELDS)
 
 
 @query(
     with_relations("estimated")
-    + f""" SELECT {_LABEL} AS month, tool, request_id, author, title,
-       {_extract_sql("description", act.DESCRIPTION_FIELDS)},
-       {_extract_sql("title", act.TITLE_FIELDS)}, estimated_outputs, merged_at
+    + f""" SELECT {_LABEL} AS month, tool, request_id, author, title, {_FIELDS_SQL},
+       estimated_outputs, merged_at
 FROM estimated"""
 )
 def act11_request_content(t):
-    return act.request_content(_estimated(t))
+    return act.request_content(_estimated(t), FIELDS, ordered=False)

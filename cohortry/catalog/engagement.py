@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortry.catalog._base import digits, query
 from cohortry.operators import engagement as eng
 from cohortry.sources.standins import (
@@ -16,10 +14,13 @@ from cohortry.sources.standins import (
 )
 
 JOURNEY = "journey-3"
+# Columns that pass unchanged from each channel, and from the campaign table.
+KEPT = ["campaign_name", "stage", "template_name", "assignment_id"]
+CAMPAIGN_KEPT = ["campaign_name", "stage", "product", "duration", "enabled"]
 
 
 def normalised_comms(t: Standins):
-    scope = (COMMS_SEGMENT, COMMS_START, COMMS_END)
+    scope = (COMMS_SEGMENT, COMMS_START, COMMS_END, KEPT)
     return eng.union_all(
         [
             eng.normalise_channel(t.push, eng.push_channel(), *scope),
@@ -77,9 +78,7 @@ def eng03_eligible_by_tier(t):
 WHERE contains(text, 'License') OR contains(text, 'the the')"""
 )
 def eng04_definition_search(t):
-    found = eng.definition_search(
-        t.table("documents"), "text", ("License", "the the"), [F.desc("doc_id")]
-    )
+    found = eng.definition_search(t.table("documents"), "text", ("License", "the the"))
     return found.select("doc_id", "lang", "source", "n_chars")
 
 
@@ -105,7 +104,7 @@ def eng06_normalised_channels(t):
 
 @query(with_relations("core_campaigns") + " SELECT * FROM core_campaigns")
 def eng07_campaign_dimension(t):
-    return eng.campaign_dimension(t.campaign_dim, COMMS_SEGMENT)
+    return eng.campaign_dimension(t.campaign_dim, COMMS_SEGMENT, CAMPAIGN_KEPT)
 
 
 @query(
@@ -119,7 +118,8 @@ GROUP BY d.product, c.stage, c.channel""",
     digits(d8=["delivery_rate", "engagement_rate"]),
 )
 def eng08_channel_performance(t):
-    return eng.channel_performance(normalised_comms(t), eng.campaign_dimension(t.campaign_dim, COMMS_SEGMENT))
+    campaigns = eng.campaign_dimension(t.campaign_dim, COMMS_SEGMENT, CAMPAIGN_KEPT)
+    return eng.channel_performance(normalised_comms(t), campaigns)
 
 
 @query(

@@ -12,6 +12,7 @@ from cohortry.sources.standins import (
     BILL_INDEX,
     BILL_START,
     EXCLUDED_SEGMENT,
+    TAG_RULES,
     Standins,
     with_relations,
 )
@@ -25,13 +26,15 @@ def _population(t: Standins):
 
 
 def _base(t: Standins):
-    return exp.with_priority_tag(_population(t))
+    return exp.with_priority_tag(_population(t), TAG_RULES)
 
 
 def _accounts(t: Standins, keys=("account_id",)):
     """Folded bills with customer and tag."""
     eligible = exp.eligible_bills(t.bills, BILL_START, BILL_END, BILL_INDEX)
-    return exp.with_priority_tag(exp.with_account(exp.folded_bills(eligible, keys), t.account_flags))
+    return exp.with_priority_tag(
+        exp.with_account(exp.folded_bills(eligible, keys), t.account_flags), TAG_RULES
+    )
 
 
 def _assigned(t: Standins):
@@ -390,9 +393,9 @@ def exp17_bills_per_customer(t):
 @query(
     with_relations("base")
     + """ SELECT * FROM (
-    SELECT *, CAST(secured_flag AS INTEGER) + CAST(republish_flag AS INTEGER)
-              + CAST(clipublish_flag AS INTEGER) AS flag_count
+    SELECT *, CAST(is_urgent AS INTEGER) + CAST(is_partial AS INTEGER)
+              + CAST(is_large AS INTEGER) AS flag_count
     FROM base) WHERE flag_count > 1"""
 )
 def exp18_overlapping_flags(t):
-    return exp.overlapping_flags(_base(t))
+    return exp.overlapping_flags(_base(t), TAG_RULES)

@@ -13,7 +13,7 @@ GRAIN = "month"
 
 def _periods(t: Standins, grain: str = GRAIN):
     metrics = {up.MAIN: TOTAL.metric, **TOTAL.parts}
-    return up.customer_periods(t.facts, t.exposure, metrics, ROLLOUT, grain=grain)
+    return up.customer_periods(t.facts_between(ROLLOUT), t.exposure, metrics, ROLLOUT, grain=grain)
 
 
 def _periodic_stats(t: Standins):
@@ -104,7 +104,7 @@ CUMULATIVE_SQL = _exposed_sql(_TOTAL_COLUMNS) + _stats_sql("stats", "running", "
 
 @query(CUMULATIVE_SQL + uplift_sql("stats") + " SELECT * FROM uplift", DIFFERENCE_DIGITS)
 def upl01_metric_uplift(t):
-    frames = up.metric_uplift(t.exposure, t.facts, TOTAL, ROLLOUT, grain=GRAIN)
+    frames = up.metric_uplift(t.exposure, t.facts_between(ROLLOUT), TOTAL, ROLLOUT, grain=GRAIN)
     return frames.cumulative_uplift.orderBy("period", "variant")
 
 
@@ -163,9 +163,16 @@ _LONG_SQL = _exposed_sql({n: n for n in _NAMES}) + ",\nlong_stats AS (" + " UNIO
 ) + ")"
 
 
-@query(_LONG_SQL + " SELECT * FROM long_stats", digits(d0=["std_metric"]))
+def _read_once(sql: str) -> str:
+    """The same SQL with the parts that several others read computed once."""
+    for name in ("facts", "periods", "running", "long_stats"):
+        sql = sql.replace(f"{name} AS (", f"{name} AS MATERIALIZED (")
+    return sql
+
+
+@query(_read_once(_LONG_SQL) + " SELECT * FROM long_stats", digits(d0=["std_metric"]))
 def upl09_hierarchy_stats(t):
-    return up.hierarchy_stats(t.exposure, t.facts, BRANCHES, ROLLOUT, grain=GRAIN)
+    return up.hierarchy_stats(t.exposure, t.facts_between(ROLLOUT), BRANCHES, ROLLOUT, grain=GRAIN)
 
 
 _TREE_VALUES = ", ".join(
@@ -179,9 +186,9 @@ _TREE_VALUES = ", ".join(
 
 
 @query(
-    _LONG_SQL
+    _read_once(_LONG_SQL)
     + f""",
-paired AS (
+paired AS MATERIALIZED (
     SELECT t.frame, t.metric, t.period, t.variant, t.n_customers AS n_t, c.n_customers AS n_c,
            t.avg_metric AS avg_t, c.avg_metric AS avg_c,
            t.std_metric AS std_t, c.std_metric AS std_c
@@ -196,7 +203,7 @@ FROM uplift JOIN tree ON uplift.metric = tree.metric""",
     DIFFERENCE_DIGITS,
 )
 def upl10_drill_down(t):
-    stats = up.hierarchy_stats(t.exposure, t.facts, BRANCHES, ROLLOUT, grain=GRAIN)
+    stats = up.hierarchy_stats(t.exposure, t.facts_between(ROLLOUT), BRANCHES, ROLLOUT, grain=GRAIN)
     return up.drill_down(up.hierarchy_uplift(stats), BRANCHES)
 
 
@@ -238,7 +245,7 @@ daily AS (
 FROM uplift"""
 )
 def upl13_pre_period_balance(t):
-    return up.pre_period_balance(t.holdout, t.facts, TOTAL, PRE_START, ROLLOUT)
+    return up.pre_period_balance(t.holdout, t.facts_between(PRE_START, ROLLOUT), TOTAL, PRE_START, ROLLOUT)
 
 
 @query(

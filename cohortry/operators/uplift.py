@@ -58,7 +58,9 @@ def source_columns(branches: Sequence[Branch]) -> list[str]:
 
 
 def period_of(date: Column, grain: str) -> Column:
-    """The date itself at day grain, the month's first day at any other."""
+    """The date itself at day grain, the month's first day at month grain."""
+    if grain not in ("day", "month"):
+        raise ValueError(f"unknown grain: {grain!r}")
     return date if grain == "day" else month_start(date)
 
 
@@ -293,7 +295,7 @@ def drill_down(uplift: DataFrame, branches: Sequence[Branch]) -> DataFrame:
     tree = spark.createDataFrame(
         rows, "branch string, role string, alias string, metric string, sign int"
     )
-    return uplift.join(F.broadcast(tree), "metric", "inner")
+    return uplift.join(tree, "metric", "inner")
 
 
 # --------------------------------------------------------------------------
@@ -323,6 +325,31 @@ def multi_variant_customers(assignments: DataFrame) -> DataFrame:
     )
 
 
+def null_counts(
+    facts: DataFrame,
+    exposure: DataFrame,
+    branches: Sequence[Branch],
+    start: str,
+    end: str | None = None,
+    grain: str = "day",
+) -> DataFrame:
+    """Customers per period, variant and metric, and how many have no value.
+
+    A mean covers the customers with a value only; here one sees how many
+    that leaves out.
+    """
+    names = source_columns(branches)
+    periods = customer_periods(facts, exposure, {n: n for n in names}, start, end, grain)
+    counted = periods.groupBy(PERIOD, VARIANT).agg(
+        F.count(F.lit(1)).alias("n_customers"),
+        *[F.count_if(F.col(n).isNull()).alias(f"_null_{n}") for n in names],
+    )
+    entries = [
+        F.struct(F.lit(n).alias("metric"), F.col(f"_null_{n}").alias("null_customers")) for n in names
+    ]
+    return counted.select(PERIOD, VARIANT, "n_customers", F.inline(F.array(*entries)))
+
+
 def pre_period_balance(
     assignments: DataFrame,
     facts: DataFrame,

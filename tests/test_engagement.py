@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.catalog.engagement import normalised_comms
+from cohortry.catalog.engagement import CAMPAIGN_KEPT, normalised_comms
 from cohortry.operators import engagement as eng
 from cohortry.sources.standins import COMMS_SEGMENT
 from tests.support import one, rows, same_rows
@@ -66,13 +66,12 @@ def test_eligible_keeps_null_keys(spark):
 def test_channel_performance_equals_row_join(spark, small):
     """Also when the dimension lists a campaign twice."""
     comms = normalised_comms(small)
-    dimension = eng.campaign_dimension(small.campaign_dim, COMMS_SEGMENT)
+    dimension = eng.campaign_dimension(small.campaign_dim, COMMS_SEGMENT, CAMPAIGN_KEPT)
     doubled = dimension.unionByName(
-        dimension.filter("campaign_name = 'campaign-7'").withColumn("branch_id", F.lit("again"))
+        dimension.filter("campaign_name = 'campaign-7'").withColumn("duration", F.lit(-1))
     )
     by_row = (
-        comms.drop("journey_name")
-        .join(doubled, ["campaign_name", "stage"], "left")
+        comms.join(doubled, ["campaign_name", "stage"], "left")
         .groupBy("product", "stage", "channel")
         .agg(
             F.count_distinct("customer_id").alias("impacted_customers"),
@@ -109,3 +108,8 @@ def test_assignments_per_day_equals_filter_after_join(small):
     )
     got = eng.assignments_per_day(small.assignments, small.journeys, "journey-3", "2024-01-03")
     assert same_rows(got, joined)
+
+
+def test_search_terms_are_taken_as_they_are(spark):
+    frame = spark.createDataFrame([("a_",), ("ab",), ("50%",), ("500",)], "text string")
+    assert {r["text"] for r in eng.definition_search(frame, "text", ["a_", "50%"]).collect()} == {"a_", "50%"}

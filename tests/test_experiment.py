@@ -10,6 +10,9 @@ from tests.support import one, rows, same_rows
 DAY = dt.date(2020, 1, 1)
 
 
+RULES = (("first_flag", "first"), ("second_flag", "second"), ("third_flag", "third"))
+
+
 @pytest.fixture()
 def bills(spark):
     return spark.createDataFrame(
@@ -43,22 +46,24 @@ def flags(spark):
             (5, "b", False, False, True),
             (6, "c", False, False, True),
         ],
-        "account_id int, customer_id string, secured_flag boolean, republish_flag boolean, "
-        "clipublish_flag boolean",
+        "account_id int, customer_id string, first_flag boolean, second_flag boolean, "
+        "third_flag boolean",
     )
 
 
 def test_population_and_tags(bills, flags):
-    base = exp.with_priority_tag(exp.base_population(bills, flags, "2020-01-01", "2020-01-31"))
+    base = exp.with_priority_tag(
+        exp.base_population(bills, flags, "2020-01-01", "2020-01-31"), RULES
+    )
     found = [(r["account_id"], r["balance"], r["account_tag"]) for r in rows(base, "account_id", "balance")]
     assert found == [
-        (1, 100.0, "secured"),
-        (1, 300.0, "secured"),
-        (2, 50.0, "republish"),
+        (1, 100.0, "first"),
+        (1, 300.0, "first"),
+        (2, 50.0, "second"),
         (3, 400.0, "other"),
-        (6, 10.0, "clipublish"),
+        (6, 10.0, "third"),
     ]
-    assert [r["flag_count"] for r in rows(exp.overlapping_flags(base))] == [2, 2]
+    assert [r["flag_count"] for r in rows(exp.overlapping_flags(base, RULES))] == [2, 2]
 
 
 def test_scope_drops_excluded_and_null_segments(spark):
@@ -105,11 +110,14 @@ def test_folded_path_equals_row_path(spark, bills, flags):
         ],
         "customer_id string, variant string, segment string",
     )
-    base = exp.with_priority_tag(exp.base_population(bills, flags, "2020-01-01", "2020-01-31"))
+    base = exp.with_priority_tag(
+        exp.base_population(bills, flags, "2020-01-01", "2020-01-31"), RULES
+    )
     accounts = exp.with_priority_tag(
         exp.with_account(
             exp.folded_bills(exp.eligible_bills(bills, "2020-01-01", "2020-01-31")), flags
-        )
+        ),
+        RULES,
     )
     sizes = exp.holdout_sizes(assigned)
     for extra in ([], [exp.TAG]):

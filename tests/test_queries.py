@@ -7,7 +7,7 @@ from cohortry.catalog import CATALOG
 from tests.compare import connect, difference
 from tests.conftest import SMALL
 
-WITHOUT_SQL = {"snk11_bounded_sample"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,21 @@ def test_entry_contract(spark):
     assert flagship.columns and flagship.count() > 0
 
 
+def test_counts_do_not_copy_rows(spark):
+    """Several distinct counts in one aggregation would expand every row."""
+    for name in ("exp16_funnel", "exp17_bills_per_customer", "act03_monthly_volume", "act04_by_author",
+                 "act09_monthly_outputs", "act10_outputs_to_date"):
+        plan = CATALOG[name].run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan, name
+
+
+def test_pre_period_reads_only_its_orders(spark):
+    """Line items are reduced to the orders of the period before they are folded."""
+    result = CATALOG["upl13_pre_period_balance"].run(spark, SMALL)
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_plans_hold_no_cross_join_and_no_python(spark):
     """Also with broadcasting off, as it is for sides too large to send."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

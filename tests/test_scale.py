@@ -102,7 +102,6 @@ def test_hot_account_and_customer_fold_before_the_joins(spark):
     flags = spark.range(-1, 9000, 1, 4).select(
         number.alias("account_id"),
         F.when(number % 3 == 1, F.lit(-5)).otherwise(number).alias("customer_id"),
-        *[F.lit(False).alias(name) for name, _ in exp.TAG_RULES],
     )
     eligible = exp.eligible_bills(bills, BILL_START, BILL_END)
     assigned = flags.select(

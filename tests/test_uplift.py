@@ -175,3 +175,8 @@ def test_pre_period_window_is_half_open(spark, exposure, facts):
     assert got == []
     got = rows(up.pre_period_balance(exposure, facts, branch, "2020-01-01", "2020-03-01"))
     assert got == []
+
+
+def test_unknown_grain_is_refused():
+    with pytest.raises(ValueError, match="week"):
+        up.period_of(F.col("date"), "week")
