@@ -40,7 +40,7 @@ from cohortry.llm.common import cut, small_enough, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 14
+BANDS = 20
 ROWS = 4
 ROUNDS = 3
 FREQUENCY_ENTRIES = 1 << 18
