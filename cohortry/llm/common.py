@@ -13,9 +13,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+# Rows that go to a Python worker at a time. Texts are long, and a worker holds
+# a batch several times over: as Arrow data, as strings, and its results.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings of the library and small Arrow batches.
+
+    They change how a plan is executed, never what it returns.
+    """
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    return configure(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, with the session settings of the library."""
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables, read in a prepared session."""
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.llm import decontamination, mixing, near_duplicates, personal_data, toxicity
-from cohortry.llm.common import shared_folder, table
+from cohortry.llm.common import prepared, shared_folder, table
 
 # No SQL can state the toxicity model; the stages are tested one by one.
 ORACLE_SQL = None
@@ -24,6 +24,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    prepared(spark)
     return near_duplicates.deduplicated(docs)
 
 
@@ -34,11 +35,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced in their texts."""
+    prepared(spark)
     return personal_data.masked(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
+    prepared(spark)
     return mixing.mixed(docs)
 
 
