@@ -15,7 +15,10 @@ LOWER = UPPER.lower()
 
 # Rows that go to a Python worker at a time. Texts are long, and a worker holds
 # a batch several times over: as Arrow data, as strings, and its results.
-BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+BATCH_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -23,7 +26,8 @@ def prepared(spark: SparkSession) -> SparkSession:
 
     They change how a plan is executed, never what it returns.
     """
-    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    for key, value in BATCH_SETTINGS.items():
+        spark.conf.set(key, value)
     return configure(spark)
 
 
