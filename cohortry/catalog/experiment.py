@@ -222,7 +222,7 @@ def exp04_holdout_sizes(t):
 
 @query(_metrics_sql(KEYS[1]) + " SELECT * FROM grouped", METRIC_DIGITS)
 def exp05_group_metrics(t):
-    return exp.group_metrics(_assigned(t), ["segment", "variant"])
+    return exp.folded_metrics(_accounts(t), t.holdout, EXCLUDED_SEGMENT)
 
 
 @query(_metrics_sql(KEYS[1]) + " SELECT * FROM metrics", CELL_DIGITS)

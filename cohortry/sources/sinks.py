@@ -37,6 +37,17 @@ def new_table_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+def without_name(df: DataFrame, name: str) -> DataFrame:
+    """Drop the view or table name that ``df`` was read by; ``df`` goes on working.
+
+    Its plan reads the files themselves. A table must have its own path.
+    """
+    spark = df.sparkSession
+    if not spark.catalog.dropTempView(name):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return df
+
+
 def overwrite_table(
     df: DataFrame, table: str, fmt: str = "parquet", path: str | None = None
 ) -> DataFrame:
