@@ -72,12 +72,15 @@ ENDED_BY = {
     "th": frozenset(("td", "th")),
 }
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation"
+    r"^(?:(?:site|page|main|global|top)[_-]?)?header$|^adsbygoogle$"
+    r"|(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation"
     r"|breadcrumbs?|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup"
     r"|share|sharing|social|related|recommended|widget|comments?|commentlist|respond|replies|disqus"
-    r"|footer|masthead|topbar|toolbar|skip|pagination|pager|login|search|legal|copyright)(?=$|[\s_\d-])",
+    r"|footer|masthead|topbar|toolbar|skip|pagination|pager|login|search|legal|copyright)(?=$|[_\d-])",
     re.IGNORECASE,
 )
+# Names that say what else is on the page, such as has-sidebar.
+BESIDE = ("has-", "with-", "no-", "without-", "is-", "has_", "with_", "no_")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
@@ -147,9 +150,12 @@ def marks_boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, value in NAMED.findall(attributes):
-        value = value.strip("\"'")
-        if value.lower() in ROLES if key.lower() == "role" else MARKED.search(value):
-            return True
+        for token in value.strip("\"'").lower().split():
+            if key.lower() == "role":
+                if token in ROLES:
+                    return True
+            elif not token.startswith(BESIDE) and MARKED.search(token):
+                return True
     return False
 
 

@@ -41,6 +41,13 @@ def test_pages_without_an_article_element():
     assert main_text(page) == f"Head\n{LONG_TEXT}\n{LONG_TEXT}\nTail"
 
 
+def test_names_that_only_mention_boilerplate():
+    page = f'<div class="header">Site</div><div class="content with-sidebar has-menu"><h1>T</h1>{LONG}{LONG}</div>'
+    assert main_text(page) == f"T\n{LONG_TEXT}\n{LONG_TEXT}"
+    page = f'<article><header class="entry-header"><h1>T</h1></header>{LONG}{LONG}</article>'
+    assert main_text(page) == f"T\n{LONG_TEXT}\n{LONG_TEXT}"
+
+
 def test_link_lists_carry_no_weight():
     links = "".join(f"<li><a href='/{i}'>A long link text that is no article {i}</a></li>" for i in range(30))
     assert main_text(f"<div><ul>{links}</ul></div><div>{LONG}{LONG}</div>") == f"{LONG_TEXT}\n{LONG_TEXT}"
