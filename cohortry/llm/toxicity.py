@@ -24,6 +24,7 @@ harm. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -207,35 +208,36 @@ def trained(
         reader = Reader(features)
         for batch in batches:
             found = [reader.count(text) for text in batch["text"]]
+            texts = [zlib.crc32((t or "").encode("utf-8", "replace")) for t in batch["text"]]
+            at = np.repeat(np.arange(len(batch)), [1 + len(f) for f in found])
+            # The row without a feature stands for the document itself.
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"],
-                    "_label": batch["_label"],
-                    "features": [list(f.keys()) for f in found],
-                    "times": [list(f.values()) for f in found],
+                    "doc_id": batch["doc_id"].to_numpy()[at],
+                    "_text": np.array(texts, np.int64)[at],
+                    "_label": batch["_label"].to_numpy()[at],
+                    "feature": [f for each in found for f in (-1, *each.keys())],
+                    "times": [n for each in found for n in (0, *each.values())],
                 }
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = (
-        sample.mapInPandas(
-            counted,
-            f"doc_id {kind}, _label int, features array<int>, times array<int>",
-        )
-        .toPandas()
-    )
-    # Additions in one order, whatever the order of the tasks.
-    rows["order"] = [str((list(f), list(t))) for f, t in zip(rows["features"], rows["times"], strict=True)]
-    rows = rows.sort_values(["doc_id", "order"], ignore_index=True
-    )
-    x = np.zeros((len(rows), len(features)))
-    for i, (at, times) in enumerate(zip(rows["features"], rows["times"], strict=True)):
-        x[i, np.asarray(at, int)] = np.asarray(times, float)
+    listed = sample.mapInPandas(
+        counted, f"doc_id {kind}, _text long, _label int, feature int, times int"
+    ).toPandas()
+    # Rows in one order, whatever the order of the tasks.
+    keys = ["doc_id", "_text"]
+    rows = listed[listed["feature"] < 0].drop_duplicates(keys).sort_values(keys, ignore_index=True)
+    rows["row"] = np.arange(len(rows))
+    held = listed[listed["feature"] >= 0].drop_duplicates([*keys, "feature"])
+    held = held.merge(rows[[*keys, "row"]], on=keys)
+    x = np.zeros((len(rows), len(features)), np.float32)
+    x[held["row"].to_numpy(), held["feature"].to_numpy()] = held["times"].to_numpy()
     given = rows["_label"].to_numpy()
     found = x[:, enriched].sum(1)
     total = sum(counts.values())
     share = np.array([counts[c] / total * len(rows) / sizes[c] for c in (0, 1)])
-    weights, thresholds = fitted(np.log1p(x), graded(given, found, grades), share[given], grades)
+    weights, thresholds = fitted(np.log1p(x, out=x), graded(given, found, grades), share[given], grades)
     return Model(features, weights, thresholds)
 
 
