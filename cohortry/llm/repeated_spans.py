@@ -9,8 +9,7 @@ Equal edges hold the same smallest gram of ``gram`` words, so the edges are
 shuffled by the hash of that gram, neighbours with the same gram in one row.
 Grams that stay within one document are dropped there, and the rest finds the
 source of each edge. Grams that a sample shows in a large share of the documents would
-fill one task each; their edges are aggregated before the shuffle and joined
-back instead. The sample, bounded as a share, decides on the way only.
+fill one task each; their edges are salted, and aggregated before the shuffle. The sample, bounded as a share, decides on the way only.
 
 Edges that follow each other in the document and in its source form a path
 without branches. Paths are compacted piece by piece, and each is verified: the
@@ -47,6 +46,9 @@ LOOKED_AT = 64
 FREQUENT_SHARE = 1 / 1000
 FREQUENT_AT_LEAST = 32
 
+# Parts that the edges of a frequent gram are dealt to.
+SALTS = 256
+
 EDGE_SEED, CHECK_SEED = 1, 2
 
 
@@ -179,9 +181,16 @@ def sourced_pieces(docs: DataFrame, span: int, gram: int) -> DataFrame:
     same = Window.partitionBy("gram", "edge")
     found = pieces(opened(shared).withColumn("source", F.min(F.struct("doc_id", spot)).over(same)))
     if len(frequent):
-        often = cut(opened(edge_rows(docs, marked, span, gram, wanted=True)))
-        first = often.groupBy("gram", "edge").agg(F.min(F.struct("doc_id", spot)).alias("source"))
-        found = found.unionByName(pieces(often.join(first, ["gram", "edge"])))
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+        often = cut(opened(edge_rows(docs, marked, span, gram, wanted=True)).select("*", salt))
+        # The first place per salt, then of all salts, of which an edge has few; it
+        # meets the edges of its salt again, so no task holds all of one edge.
+        first = often.groupBy("gram", "edge", "salt").agg(F.min(F.struct("doc_id", spot)).alias("source"))
+        first = first.withColumn("source", F.min("source").over(same))
+        each = often.unionByName(first, allowMissingColumns=True)
+        salted = Window.partitionBy("gram", "edge", "salt")
+        sourced = each.withColumn("source", F.min("source").over(salted)).where("doc_id is not null")
+        found = found.unionByName(pieces(sourced))
     return found
 
 
@@ -215,7 +224,8 @@ def check_hashes(block: grams.Block, i: int, span: int) -> np.ndarray:
 def verified_paths(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
     """Per document its paths: start, and the check hashes read at the source."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sizes = found.groupBy("source").agg(F.ceil(F.count("*") / REQUESTS_TOGETHER).alias("_parts"))
+    # Written on its own, so that Spark can split the join of a source with many requests.
+    sizes = cut(found.groupBy("source").agg(F.ceil(F.count("*") / REQUESTS_TOGETHER).alias("_parts")))
     asked = (
         found.join(sizes, "source")
         .groupBy("source", F.pmod(F.xxhash64("doc_id", "start"), F.col("_parts")).alias("_part"))
