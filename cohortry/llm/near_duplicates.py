@@ -17,9 +17,11 @@ candidates.
 Documents with the same shingles and counts are one node, so copies never make
 pairs. In each bucket a node is paired with the bucket's smallest node and with
 its neighbour in a shuffled order; later rounds pair what is still apart in a
-bucket, one node per component. Pairs are verified by their exact weighted
-Jaccard similarity, and the classes are the connected components of the links.
-A class is named by its smallest doc_id.
+bucket, one node per component. These rounds only save work: all nodes of buckets
+that hold several components after them are joined on the rarest of their shingles
+(prefix filtering), so that no pair that could reach the limit stays untried.
+Pairs are verified by their exact weighted Jaccard similarity, and the classes are
+the connected components of the links. A class is named by its smallest doc_id.
 
 A document without words, or without a doc_id, is alone; the class of the latter
 is null. Rows that share a doc_id count as one document. An empty table gives an
@@ -28,7 +30,7 @@ empty result. Only doc_id and text are read, so columns of other names do no har
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,9 @@ FREQUENCY_ENTRIES = 1 << 18
 SHUFFLED_TOGETHER = 1_000
 MOST_BROADCAST_IDS = 500_000
 
+# Bounds on sums of weights are loosened by this share, for the rounding of the sums.
+SLACK = 1e-6
+
 TABLE_BITS = 16
 
 
@@ -135,18 +140,21 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def inverse_frequencies(docs: DataFrame, entries: int) -> np.ndarray:
-    """ln((documents + 1) / (documents with the word + 1)) + 1 per hashed entry.
+def document_counts(
+    docs: DataFrame, features: Callable[[grams.Block], tuple[np.ndarray, np.ndarray]], entries: int
+) -> np.ndarray:
+    """Documents per hashed entry of their features, and at the end all documents.
 
-    Each task sends one number per entry at most; the driver gets ``entries``.
+    ``features`` gives text index and hash. Each task sends one number per entry at
+    most; the driver gets ``entries``.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(entries + 1, np.int64)
         for batch in batches:
             for block in grams.blocks(batch.column(0), grams.LETTERS):
-                owner = np.repeat(np.arange(len(block)), np.diff(block.starts))
-                pairs = owner * entries + (block.hashes % np.uint64(entries)).astype(np.int64)
+                owner, hashes = features(block)
+                pairs = owner * entries + (hashes % np.uint64(entries)).astype(np.int64)
                 held[:entries] += np.bincount(np.unique(pairs) % entries, minlength=entries)
                 held[entries] += len(block)
         used = np.flatnonzero(held)
@@ -161,6 +169,14 @@ def inverse_frequencies(docs: DataFrame, entries: int) -> np.ndarray:
     )
     held = np.zeros(entries + 1)
     held[rows["entry"].to_numpy(np.int64)] = rows["held"].to_numpy()
+    return held
+
+
+def inverse_frequencies(docs: DataFrame, entries: int) -> np.ndarray:
+    """ln((documents + 1) / (documents with the word + 1)) + 1 per hashed entry."""
+    held = document_counts(
+        docs, lambda block: (np.repeat(np.arange(len(block)), np.diff(block.starts)), block.hashes), entries
+    )
     return np.log((held[entries] + 1) / (held[:entries] + 1)) + 1
 
 
@@ -303,6 +319,74 @@ def candidate_pairs(buckets: DataFrame, round_: int) -> DataFrame:
     )
 
 
+def prefixes(texts: DataFrame, idf, length: int, least: float, entries: int) -> DataFrame:
+    """shingle, node, label, total weight of the node and its weight from the shingle on.
+
+    The shingles of a node are put in one order for all nodes, rarest first, and listed
+    as long as the weight from there on is ``least`` of the total. Two nodes that are
+    similar enough share a listed shingle: from the first shared one on, both
+    hold all they share.
+    """
+    held = document_counts(texts, lambda block: shingle_weights(block, idf.value, length)[:2], entries)
+    counts = texts.sparkSession.sparkContext.broadcast(held[:entries])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in grams.blocks(batch.column("text"), grams.LETTERS):
+                part = batch.slice(block.first, len(block))
+                owner, shingles, _, weights = shingle_weights(block, idf.value, length)
+                holders = counts.value[shingles % np.uint64(entries)]
+                order = np.lexsort((shingles, holders, owner))
+                owner, shingles, weights, holders = owner[order], shingles[order], weights[order], holders[order]
+                _, starts, times = np.unique(owner, return_index=True, return_counts=True)
+                if not len(starts):
+                    continue
+                size = np.repeat(np.add.reduceat(weights, starts), times)
+                before = np.cumsum(weights) - weights
+                rest = size - (before - np.repeat(before[starts], times))
+                keep = (rest >= least * size * (1 - SLACK)) & (holders > 1)
+                at = pa.array(owner[keep])
+                yield pa.record_batch(
+                    {
+                        "shingle": pa.array(shingles[keep].view(np.int64)),
+                        "node": part.column("node").take(at),
+                        "label": part.column("label").take(at),
+                        "size": pa.array(size[keep]),
+                        "rest": pa.array(rest[keep]),
+                    }
+                )
+
+    node = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "label", "text").mapInArrow(
+        listed, f"shingle long, node {node}, label {node}, size double, rest double"
+    )
+
+
+def remaining_pairs(listed: DataFrame, least: float) -> DataFrame:
+    """All pairs (low, high) of different components that can be similar enough.
+
+    What two nodes share is at least ``least / (1 + least)`` of both totals. For the
+    smaller of the two that is more of its own total, so fewer of its shingles do.
+    """
+    both = least / (1 + least) * (1 - SLACK)
+    small = listed.where(F.col("rest") >= 2 * both * F.col("size")).alias("small")
+    fits = (
+        (F.col("small.shingle") == F.col("large.shingle"))
+        & (F.col("small.label") != F.col("large.label"))
+        & (F.struct("small.size", "small.node") < F.struct("large.size", "large.node"))
+        & (F.col("small.size") >= least * (1 - SLACK) * F.col("large.size"))
+        & (F.least("small.rest", "large.rest") >= both * (F.col("small.size") + F.col("large.size")))
+    )
+    return (
+        small.join(listed.alias("large"), fits)
+        .select(
+            F.least("small.node", "large.node").alias("low"),
+            F.greatest("small.node", "large.node").alias("high"),
+        )
+        .distinct()
+    )
+
+
 def classes(
     docs: DataFrame,
     length: int = SHINGLE,
@@ -333,7 +417,8 @@ def classes(
         pairs = cut(pairs)
         if pairs.isEmpty():
             break
-        links = cut(verified(pairs, texts_of(docs, pairs), idf, length, least))
+        met = pairs.select(F.col("low").alias("node")).union(pairs.select("high")).distinct()
+        links = cut(verified(pairs, texts_of(docs, met), idf, length, least))
         found = links if found is None else found.union(links)
         tried = pairs if tried is None else tried.union(pairs)
         labels = components(found)
@@ -342,6 +427,15 @@ def classes(
             .join(labels, "node", "left")
             .select("key", "node", F.coalesce("label", "node").alias("label"))
         )
+    if found is not None:
+        apart = buckets.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+        apart = buckets.join(apart.where("_low <> _high").select("key"), "key")
+        apart = cut(apart.select("node", "label").distinct())
+        if not apart.isEmpty():
+            texts = cut(texts_of(docs, apart.select("node")).join(apart, "node"))
+            listed = cut(prefixes(texts, idf, length, least, entries))
+            pairs = cut(remaining_pairs(listed, least).join(tried, ["low", "high"], "left_anti"))
+            found = found.union(cut(verified(pairs, texts, idf, length, least)))
     members = named.join(nodes.select("first", "second", "node"), ["first", "second"])
     links = members.select("doc_id", F.col("node.doc_id").alias("other"))
     if found is not None:
@@ -355,10 +449,9 @@ def classes(
     ).select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and text of every node in a pair."""
-    wanted = cut(pairs.select("low").union(pairs.select("high")).distinct())
-    wanted = small_enough(wanted.select("low.doc_id", "low._text"), MOST_BROADCAST_IDS)
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the given nodes."""
+    wanted = small_enough(cut(nodes).select("node.doc_id", "node._text"), MOST_BROADCAST_IDS)
     read = docs.withColumn("_text", text_key(F.col("text"))).join(wanted, ["doc_id", "_text"])
     node = F.struct("doc_id", "_text")
     return cut(read.groupBy(node.alias("node")).agg(F.any_value("text").alias("text")))

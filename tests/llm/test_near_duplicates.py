@@ -116,6 +116,21 @@ def test_a_large_bucket_is_one_class_without_all_pairs(spark):
     assert classes(documents(spark, rows)).where("class_id = 0").count() == 600
 
 
+def test_small_classes_in_large_buckets_of_one_template(spark):
+    """Pairs above the limit among many documents that are alike, but below it."""
+    template = [f"t{i}" for i in range(300)]
+    rows = []
+    for number in range(200):
+        shared = [f"c{number}x{i}" for i in range(3)]
+        for _ in range(2):
+            own = [f"d{len(rows)}x{i}" for i in range(5)]
+            rows.append((len(rows), " ".join(template[:150] + shared + template[150:] + own), "s"))
+    expected = brute([(i, t) for i, t, _ in rows])
+    assert len(set(expected.values())) == 200
+    found = {r["doc_id"]: r["class_id"] for r in classes(documents(spark, rows)).collect()}
+    assert found == expected
+
+
 def test_chains_and_rings_are_joined(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)]
     labels = near_duplicates.components(spark.createDataFrame(edges, "low long, high long"))
