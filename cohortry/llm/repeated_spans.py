@@ -63,17 +63,17 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def edges_of(block: grams.Block, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """text index, place in the text, smallest gram and hash of each edge."""
+    """text index, place in the text, smallest gram and 64-bit hash of each edge."""
     count = len(block.hashes) - span + 1
     if count <= 0:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty.astype(np.int32)
+        return empty, empty, empty, empty
     owners = np.repeat(np.arange(len(block)), np.diff(block.starts))
     whole = np.flatnonzero(owners[:count] == owners[span - 1 :])
     smallest = sliding_minimum(grams.runs(block.hashes, gram), span - gram + 1)[whole]
     hashes = grams.runs(block.hashes, span, EDGE_SEED)[whole]
     owner = owners[whole]
-    return owner, whole - block.starts[owner], smallest.view(np.int64), _low_half(hashes)
+    return owner, whole - block.starts[owner], smallest.view(np.int64), hashes.view(np.int64)
 
 
 def _low_half(hashes: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def edge_rows(docs: DataFrame, frequent, span: int, gram: int, wanted: bool) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return known_documents(docs).mapInArrow(
-        listed, f"gram long, doc_id {kind}, place int, edges array<int>"
+        listed, f"gram long, doc_id {kind}, place int, edges array<long>"
     )
 
 

@@ -76,6 +76,18 @@ def test_wrong_matches_do_not_survive_the_source(spark, monkeypatch):
     assert all(n_removed <= 20 for _, n_removed, _ in found.values())
 
 
+def test_edges_alike_in_their_low_half_keep_their_own_sources(spark, monkeypatch):
+    runs = repeated_spans.grams.runs
+
+    def high_half(hashes, length, seed=0):
+        found = runs(hashes, length, seed)
+        return found << np.uint64(32) if seed == repeated_spans.EDGE_SEED else found
+
+    monkeypatch.setattr(repeated_spans.grams, "runs", high_half)
+    rows = overlapping(4)
+    assert judged(documents(spark, rows)) == brute([(i, t) for i, t, _ in rows])
+
+
 def test_awkward_rows(spark):
     found = judged(awkward(spark))
     empty = hashlib.sha256(b"").hexdigest()
