@@ -11,11 +11,12 @@ outside links, and the block at a line sums the weights of ``window`` lines from
 there on. The text surges where a block rises above ``surge`` characters out of
 silence and dives where the blocks fall back to the silence of ``dive``
 characters. The stretch with the most text between a surge and a dive is the
-core. The core decides which element is the article: the innermost one that
-holds nearly all the core's text. If that is a real container, every line in
-it is kept, so that short first and last paragraphs and lines between two
-surges stay; if it is only the body, the lines from the first surge to the last
-dive are kept, with the headings directly above.
+core. An article or main element that holds nearly all the core's text overrides
+the method: all its lines are kept, and no others. Elsewhere the innermost container
+that holds every line from the first surge to the last dive, and the headings
+directly above, is kept whole, so that short first and last paragraphs and lines
+between two surges stay; if that is only the body, the lines from the first surge
+to the last dive are kept, with the headings directly above.
 
 A page without a surge (short ones) keeps the lines of its article or main
 element, or else all lines outside links. Null or empty html gives an empty
@@ -267,6 +268,12 @@ def shared_container(lines: Sequence[Line], elements: Elements, share: float) ->
     return max(number for number, weight in enumerate(held) if weight >= share * held[0])
 
 
+def common_chain(lines: Sequence[Line], elements: Elements) -> list[int]:
+    """The elements that hold all of the lines, from the body inwards."""
+    first, last = min(x.element for x in lines), max(x.element for x in lines)
+    return [e for e in elements.chain(first) if elements.last[e] >= last]
+
+
 def main_text(
     html: str | None,
     window: int = WINDOW,
@@ -283,7 +290,16 @@ def main_text(
         first, last = max(found, key=lambda f: sum(weights[f[0] : f[1]]))
         chain = elements.chain(shared_container(lines[first:last], elements, share))
         article = [e for e in chain if elements.names[e] in ARTICLE]
-        boxes = article or [e for e in chain if elements.names[e] in BOXES]
+        if article:
+            boxes = article
+        else:
+            start = found[0][0]
+            while not lines[start].heading and not weights[start]:
+                start += 1
+            while start > 0 and lines[start - 1].heading:
+                start -= 1
+            holders = common_chain(lines[start : found[-1][1]], elements)
+            boxes = [e for e in holders if elements.names[e] in BOXES]
         if boxes:
             kept = [x for x in lines if elements.inside(x, boxes[-1])]
         else:

@@ -41,6 +41,14 @@ def test_pages_without_an_article_element():
     assert main_text(page) == f"Head\n{LONG_TEXT}\n{LONG_TEXT}\nTail"
 
 
+def test_the_box_holds_every_line_of_the_stretches():
+    page = f'<div class="post"><h1>Title</h1><div class="lead"><p>intro</p></div><div class="text">{LONG}{LONG}</div></div>'
+    assert main_text(page) == f"Title\nintro\n{LONG_TEXT}\n{LONG_TEXT}"
+    gap = "".join(f"<p><a href='/{i}'>link {i}</a></p>" for i in range(4))
+    page = f"<div><div>{LONG}{LONG}</div><div>{gap}</div><div>{LONG}</div></div>"
+    assert main_text(page).count(LONG_TEXT) == 3
+
+
 def test_names_that_only_mention_boilerplate():
     page = f'<div class="header">Site</div><div class="content with-sidebar has-menu"><h1>T</h1>{LONG}{LONG}</div>'
     assert main_text(page) == f"T\n{LONG_TEXT}\n{LONG_TEXT}"
