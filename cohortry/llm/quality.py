@@ -6,7 +6,9 @@ max-pooled within each chunk and rectified. The chunks are combined by their
 mean and their maximum, and one logistic unit turns both into a probability.
 
 The network is fitted on a sample of labelled rows, bounded per class and in bytes,
-that is drawn by a hash of doc_id from all rows outside the held-out fold. Rows are
+that is drawn by a hash of doc_id from all rows outside the held-out fold. Each class
+has half of the bytes and what the other leaves; a text above half of them, or one that
+does not fit any more, is passed over for the next. Repeated rows count once. Rows are
 weighted so that the classes count as in all labels outside the fold. Labels of
 the held-out fold, and the columns lang, source and doc_id, are never read for
 learning or scoring.
@@ -28,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import text_key
+
 FILTERS = 16
 WIDTH = 6
 BLOCK = 32
@@ -176,6 +180,24 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
+def fitting(sizes: pd.DataFrame, most_bytes: int) -> pd.Series:
+    """Which rows of ``_label`` and ``bytes``, in their order, fit into the bytes."""
+    taken = pd.Series(False, sizes.index)
+    left = most_bytes
+    for _, each in sizes.groupby("_label"):
+        room = most_bytes // 2
+        for row, size in each["bytes"].items():
+            if size <= room:
+                taken[row] = True
+                room -= size
+                left -= size
+    for row, size in sizes.loc[~taken, "bytes"].items():
+        if size <= left:
+            taken[row] = True
+            left -= size
+    return taken
+
+
 def trained(
     docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, most_bytes: int
 ) -> Network | float:
@@ -194,12 +216,32 @@ def trained(
     drawn = [known.where(F.col("_label") == c).orderBy(hashed, "doc_id").limit(rows_per_class) for c in (0, 1)]
     chosen = F.broadcast(drawn[0].union(drawn[1]))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id")
+    sample = sample.withColumn("_key", text_key(F.col("text")))
     # Long texts leave room for fewer rows, in the order of the hash.
-    sizes = sample.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes")).toPandas()
+    sized = (
+        sample.select("doc_id", "_label", "_key", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+        .where(F.col("bytes") <= most_bytes // 2)
+        .distinct()
+    )
+    order = [F.xxhash64("doc_id", "_key"), "doc_id", "_key"]
+    first = [sized.where(F.col("_label") == c).orderBy(*order).limit(rows_per_class) for c in (0, 1)]
+    sizes = first[0].union(first[1]).toPandas()
     sizes["drawn"] = pd.util.hash_array(sizes["doc_id"].to_numpy())
-    sizes = sizes.sort_values(["drawn", "doc_id"])
-    fitting = sizes.loc[sizes["bytes"].cumsum() <= most_bytes, "doc_id"].unique().tolist()
-    rows = sample.where(F.col("doc_id").isin(fitting)).toPandas().sort_values(["doc_id", "text"])
+    sizes = sizes.sort_values(["drawn", "doc_id", "_key"], ignore_index=True)
+    kept = sizes.loc[fitting(sizes, most_bytes), ["doc_id", "_key"]]
+    if kept.empty:
+        return float(counts[1] / total)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(
+        list(kept.itertuples(index=False, name=None)), f"doc_id {kind}, _key long"
+    )
+    rows = (
+        sample.join(F.broadcast(wanted), ["doc_id", "_key"])
+        .groupBy("doc_id", "_label", "_key")
+        .agg(F.any_value("text").alias("text"))
+        .toPandas()
+        .sort_values(["doc_id", "text"])
+    )
     found = rows["_label"].tolist()
     if len(set(found)) < 2:
         return float(counts[1] / total)

@@ -222,9 +222,11 @@ def trained(
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    listed = sample.mapInPandas(
-        counted, f"doc_id {kind}, _text long, _label int, feature int, times int"
-    ).toPandas()
+    listed = (
+        sample.mapInPandas(counted, f"doc_id {kind}, _text long, _label int, feature int, times int")
+        .dropDuplicates(["doc_id", "_text", "feature"])
+        .toPandas()
+    )
     # Rows in one order, whatever the order of the tasks.
     keys = ["doc_id", "_text"]
     rows = listed[listed["feature"] < 0].drop_duplicates(keys).sort_values(keys, ignore_index=True)

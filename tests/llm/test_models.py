@@ -41,6 +41,19 @@ def test_quality_does_not_read_held_out_labels(spark, tables):
     assert few.count() == 50
 
 
+def test_a_text_above_the_bound_is_passed_over(spark):
+    rows = [(i, f"plain text {i} " * 3 if i % 2 else f"#### {i} " * 3, "s") for i in range(60)]
+    known = [i for i in range(60) if not held_out(i)]
+    drawn = quality.pd.util.hash_array(np.array(known))
+    first = known[int(drawn.argmin())]
+    rows = [(i, "long " * 4_000 if i == first else t, s) for i, t, s in rows]
+    rows += [(known[-1], rows[known[-1]][1], "s")] * 5
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert isinstance(quality.trained(documents(spark, rows), labels, "quality", 60, 10_000), quality.Network)
+    sizes = quality.pd.DataFrame({"_label": [0, 0, 1, 0, 1], "bytes": [40, 20, 30, 10, 5]})
+    assert quality.fitting(sizes, 100).tolist() == [True, False, True, True, True]
+
+
 def test_network_gradients_match_differences():
     network = quality.Network.start(1, 0.2)
     network.filters = network.filters.astype(float)
