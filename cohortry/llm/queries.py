@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortry.llm import decontamination, main_text, mixing, near_duplicates, neighbours, personal_data, quality, repeated_spans, toxicity, url_filter
+from cohortry.llm import alignment, decontamination, fill_in_middle, main_text, mixing, near_duplicates, neighbours, personal_data, quality, repeated_spans, token_counts, toxicity, url_filter, vocabularies
 from cohortry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,6 +184,54 @@ def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.digest(repeated_spans.cut_documents(table(spark, sf_dir, "documents")))
 
 
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
+
+
+def _vocabulary(name: str):
+    return vocabularies.vocabulary(vocabularies.file_of(name))
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.links(docs, _vocabulary(BYTE_VOCABULARY), _vocabulary(PIECE_VOCABULARY))[0]
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = token_counts.counted(docs, _vocabulary(PIECE_VOCABULARY), ["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+FILL_IN_MIDDLE_SQL = f"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n,
+    sha256('{fill_in_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (
+  SELECT doc_id, text, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS u, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS v,
+    ('0x' || substr(h, 17, 8))::BIGINT % 100 AS changed, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS turned FROM drawn),
+cut AS (
+  SELECT doc_id, text, n, least(u, v) AS a, greatest(u, v) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR changed >= 90
+      THEN 'plain' WHEN turned < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+pieces AS (
+  SELECT doc_id, text, n, form, a, b, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM pieces"""
+
+
+@query(FILL_IN_MIDDLE_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -21,10 +21,13 @@ def test_query_matches_sql(spark, connection, name):
 def test_entry_holds_every_query():
     assert set(QUERIES) <= set(entry_module.queries())
     assert set(ORACLES) <= set(entry_module.oracle_sql())
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
 
 
-@pytest.mark.parametrize("name", ["op2_toxicity", "op3_quality", "op7_personal_data", "op10_near_duplicates"])
+@pytest.mark.parametrize(
+    "name",
+    ["op2_toxicity", "op3_quality", "op7_personal_data", "op10_near_duplicates", "op11_alignment", "op12_token_counts"],
+)
 def test_one_row_per_document(spark, name):
     documents = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert QUERIES[name](spark, SMALL).count() == documents.count()
