@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.session import configure
 
@@ -13,6 +16,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+# Values that are sent to every executor in one piece.
+MOST_BROADCAST_BYTES = 16 << 20
+
 # Rows that go to a Python worker at a time. Texts are long, and a worker holds
 # a batch several times over: as Arrow data, as strings, and its results.
 BATCH_SETTINGS = {
@@ -54,13 +60,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_enough(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it holds at most ``most_rows`` rows.
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as compressed columns, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bytes_of(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(value, F.lit(16).cast("long"), lambda sum_, x: sum_ + bytes_of(x, kind.elementType))
+        return F.coalesce(each, F.lit(16).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def small_enough(df: DataFrame, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its values take at most ``most_bytes``.
 
     Beyond that it comes back as it is, and Spark joins by shuffling. ``df``
-    should be checkpointed, since its rows are counted here.
+    should be checkpointed, since it is read here.
     """
-    return F.broadcast(df) if df.count() <= most_rows else df
+    each = sum((bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    taken = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if taken <= most_bytes else df
 
 
 def apart(df: DataFrame, other: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
@@ -76,6 +104,14 @@ def apart(df: DataFrame, other: DataFrame) -> tuple[DataFrame, dict[str, Column]
     return df.withColumnsRenamed(names), {old: F.col(f"`{new}`") for old, new in names.items()}
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, UPPER, LOWER)

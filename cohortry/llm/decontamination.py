@@ -36,9 +36,6 @@ GRAM = 5
 # A document is contaminated if at least one word in so many is hit.
 ONE_WORD_IN = 20
 
-# Larger tables are joined by shuffling instead of broadcasting.
-MOST_BROADCAST_FINGERPRINTS = 1_000_000
-MOST_BROADCAST_CANDIDATES = 20_000
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -158,7 +155,7 @@ def hit_documents(
     gram: int,
 ) -> DataFrame:
     """n_hit and the sorted items of each document that holds a window."""
-    known = small_enough(windows.select("mark").distinct(), MOST_BROADCAST_FINGERPRINTS)
+    known = small_enough(windows.select("mark").distinct())
     candidates = cut(
         marked.select("doc_id", "_text", F.explode("marks").alias("mark"))
         .join(known, "mark", "left_semi")
@@ -167,7 +164,7 @@ def hit_documents(
     )
     met = candidates.withColumnsRenamed({"doc_id": "_id", "_text": "_hit_text"})
     read = docs.select("doc_id", "text", text_key(F.col("text")).alias("_text")).join(
-        small_enough(met, MOST_BROADCAST_CANDIDATES), _candidate(docs)
+        small_enough(met), _candidate(docs)
     )
 
     def starts(words: Column) -> Column:
@@ -180,7 +177,7 @@ def hit_documents(
         .select("doc_id", "_text", F.explode(bound(words_of(F.col("text")), starts)).alias("_span"))
         .select("doc_id", "_text", "_span.start", "_span.window", "_span.length")
         .join(
-            small_enough(windows.select("window", "items"), MOST_BROADCAST_FINGERPRINTS), "window"
+            small_enough(windows.select("window", "items")), "window"
         )
     )
     before = (
@@ -234,6 +231,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> D
         .select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hit_text"))
         .distinct()
     )
-    rejected, its = apart(small_enough(cut(found), MOST_BROADCAST_CANDIDATES), docs)
+    rejected, its = apart(small_enough(cut(found)), docs)
     same = docs["doc_id"].eqNullSafe(its["_id"]) & (text_key(docs["text"]) == its["_hit_text"])
     return docs.join(rejected, same, "left_anti")

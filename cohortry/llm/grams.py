@@ -1,7 +1,9 @@
 """Hashes of words and word runs, for whole Arrow batches of texts in numpy.
 
 Texts are handled in blocks of a bounded number of bytes (one text at least),
-so memory does not follow the batch size. All arithmetic is modulo 2**64.
+so memory does not follow the batch size. The hash of a word adds up one random 64-bit number
+per byte and place in the word, so that no regular pattern of letters makes two
+words meet. All arithmetic is modulo 2**64.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 17
 
-_BASE = 0x9E3779B97F4A7C15
+# Places in a word whose numbers are read from a table; beyond it they are made anew.
+_TABLE_PLACES = 32
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _GRAM_BASE = 0xD6E8FEB86659FD93
 
 
@@ -29,20 +33,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    def series(base: int) -> np.ndarray:
-        factors = np.full(count, base, np.uint64)
-        factors[0] = 1
-        return np.cumprod(factors)
-
-    return series(_BASE), series(pow(_BASE, -1, 1 << 64))
+def _numbers(spots: np.ndarray, seed: int) -> np.ndarray:
+    """The random number of each spot, which is 256 times the place plus the byte."""
+    return mixed((spots.astype(np.uint64) + np.uint64(seed << 40) + np.uint64(1)) * _STEP)
 
 
 def byte_classes(word: set[int], fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes belong to words, and the byte each is read as."""
     member = np.zeros(256, bool)
     member[list(word)] = True
-    read = np.arange(256, dtype=np.uint64)
+    read = np.arange(256)
     if fold:
         read[65:91] += 32
     return member, read
@@ -74,22 +74,21 @@ class Block:
         return slice(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def blocks(texts: pa.Array, classes: tuple[np.ndarray, np.ndarray], most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The words of every text; a null text has none."""
+def blocks(
+    texts: pa.Array, classes: tuple[np.ndarray, np.ndarray], most: int = BLOCK_BYTES, seed: int = 0
+) -> Iterator[Block]:
+    """The words of every text; a null text has none. Another seed gives other hashes."""
     member, read = classes
     whole = pc.fill_null(texts, "").cast(pa.large_string())
     buffers = whole.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] else np.zeros(0, np.uint8)
-    # The powers suit the common block size; a longer text makes its own.
-    powers = _powers(min(most, len(data)) + 1)
+    numbers = _numbers(np.arange(_TABLE_PLACES << 8), seed)
     row = 0
     while row < len(whole):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         part = data[offsets[row] : offsets[end]]
-        if len(part) >= len(powers[0]):
-            powers = _powers(len(part) + 1)
-        yield _block(row, part, offsets[row : end + 1] - offsets[row], member, read, powers)
+        yield _block(row, part, offsets[row : end + 1] - offsets[row], member, read, numbers, seed)
         row = end
 
 
@@ -99,7 +98,8 @@ def _block(
     offsets: np.ndarray,
     member: np.ndarray,
     read: np.ndarray,
-    powers: tuple[np.ndarray, np.ndarray],
+    numbers: np.ndarray,
+    seed: int,
 ) -> Block:
     inside = member[data]
     before = np.empty_like(inside)
@@ -113,10 +113,17 @@ def _block(
     after[:-1] = inside[1:]
     after[cuts[cuts > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = powers
+    # The place of each byte in its word; bytes between words belong to none.
+    origin = np.zeros(len(data), np.int64)
+    origin[begins] = begins
+    spots = np.arange(len(data)) - np.maximum.accumulate(origin)
+    far = np.flatnonzero(inside & (spots >= _TABLE_PLACES))
+    spots = (spots << 8) | read[data]
+    each = numbers[np.minimum(spots, len(numbers) - 1)]
+    each[far] = _numbers(spots[far], seed)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((read[data] + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashes = mixed((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    np.cumsum(each, out=total[1:])
+    hashes = mixed(total[ends] - total[begins] + (ends - begins).astype(np.uint64) * _STEP)
     return Block(first, data, hashes, begins, ends, np.searchsorted(begins, offsets))
 
 

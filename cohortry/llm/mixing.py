@@ -29,8 +29,6 @@ WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 SEED = 11
 
-# Sources above this count are joined by shuffling instead of broadcasting.
-MOST_BROADCAST_SOURCES = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,7 +117,7 @@ def planned(
 
 def rates_of(sizes: DataFrame, weights: Sequence[int], most_repeats: int) -> DataFrame:
     found = cut(targets(sizes, weights, most_repeats)).withColumnRenamed("source", "_source")
-    return small_enough(found, MOST_BROADCAST_SOURCES)
+    return small_enough(found)
 
 
 def mixed(

@@ -46,7 +46,6 @@ VECTORS_PER_BLOCK = 1_000
 QUERIES_PER_BLOCK = 250
 SEED = 3
 
-MOST_BROADCAST_ENTRIES = 100_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -263,7 +262,7 @@ def nearest(
         .groupBy("query")
         .agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
     )
-    found = small_enough(cut(found), MOST_BROADCAST_ENTRIES)
+    found = small_enough(cut(found))
     others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
     return (
         asking.join(found, asking["entry"] == found["query"])

@@ -40,7 +40,6 @@ RELIABLE = 0.6
 ACCEPTED = 0.6
 SHORTEST_CANDIDATE = 6
 
-MOST_BROADCAST_DOCUMENTS = 20_000
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -302,7 +301,7 @@ def masked(docs: DataFrame, **settings) -> DataFrame:
             yield pd.Series([masked_text(t, a) for t, a in zip(texts, added, strict=True)], dtype=object)
 
     mentioned = cut(read_mentions(docs))
-    added = small_enough(cut(discovered(mentioned, **settings)), MOST_BROADCAST_DOCUMENTS)
+    added = small_enough(cut(discovered(mentioned, **settings)))
     sides, its = apart(added, docs)
     joined = docs.join(sides, _same_row(docs["doc_id"], text_key(docs["text"]), its), "left")
     kind = docs.schema["n_chars"].dataType

@@ -51,3 +51,20 @@ def test_a_slice_of_a_batch():
         h for p in parts for b in grams.blocks(p, grams.SPACED) for i in range(len(b)) for h in b.hashes[b.words(i)]
     ]
     assert all_words == by_part
+
+
+def thue_morse(length):
+    """Two words that polynomials modulo a power of two cannot tell apart."""
+    ones = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[b] for b in ones), "".join("ba"[b] for b in ones)
+
+
+def test_regular_words_are_told_apart():
+    left, right = thue_morse(4096)
+    (block,) = grams.blocks(pa.array([f"{left} {right} {left}"]), grams.SPACED)
+    assert block.hashes[0] == block.hashes[2] != block.hashes[1]
+
+
+def test_seeds_give_independent_hashes():
+    first, second = (next(grams.blocks(pa.array(["a b c a"]), grams.SPACED, seed=s)).hashes for s in (0, 1))
+    assert not set(first.tolist()) & set(second.tolist()) and second[0] == second[3]
