@@ -13,9 +13,9 @@ Texts are encoded once: ids and counts of each row are written to the shared fol
 and read again to count and to score.
 
 The counts of irregular pairs are looked up in the tasks if all of them fit a bound in bytes,
-and joined by shuffle otherwise. Both give the same rows. Texts are encoded in parts of a
-bounded size, cut where a space follows another character, which no token of either
-vocabulary spans; a text without such places is one part.
+and joined by shuffle otherwise. Both give the same rows. Texts are cut into units where a
+space follows another character, which no token of either vocabulary spans, and a unit
+that occurs again is not encoded again; a text without such places is one unit.
 
 A null or empty text has no tokens, nor has one whose tokens of A or B do not give back
 its bytes (a text that holds U+2581, for one). Its counts are 0 and its groups ''. Every row
@@ -28,21 +28,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import shared_folder, text_key
+from cohortry.llm.common import stored, text_key
 from cohortry.llm.vocabularies import SPACE_MARK, ByteLevel, Pieces
 
-# Code points of a part, and of the parts that are aligned together.
-PART = 1 << 15
-TOGETHER = 1 << 17
+# Code points that are cut into units together, and of the units aligned together.
+PART = 1 << 17
+TOGETHER = 1 << 16
+# Units whose links a task keeps.
+MOST_UNITS = 1 << 18
 # Irregular pairs that a task adds up before it sends them on.
 PAIRS_TOGETHER = 1 << 20
 # A pair, its count and its mark take 17 bytes in a task.
@@ -66,40 +68,40 @@ def identity_map(a: ByteLevel, b: Pieces) -> np.ndarray:
 
 
 def parts_of(text: str, most: int = PART) -> Iterator[str]:
-    """The text behind a space, in parts that begin with a space and tokenize alike alone."""
+    """The text in parts of about ``most`` characters, cut at spaces that begin a unit."""
     begin = 0
     while len(text) - begin > most:
         cut = _CUT.search(text, begin + most)
         if not cut:
             break
-        yield f"{'' if begin else ' '}{text[begin:cut.start()]}"
-        begin = cut.start()
-    yield f"{'' if begin else ' '}{text[begin:]}"
+        yield text[begin : cut.start()]
+        begin = cut.end()
+    yield text[begin:]
 
 
 @dataclass
 class Tokens:
-    """Ids of some parts one after another, and where each token ends in all their bytes."""
+    """Ids of some texts one after another, and where each token ends in all their bytes."""
 
     ids: np.ndarray
     ends: np.ndarray
-    starts: np.ndarray  # of each part, and the end of the last
+    starts: np.ndarray  # of each text, and the end of the last
 
     @classmethod
     def of(cls, ids: list[list[int]], lengths: np.ndarray) -> Tokens:
-        flat = np.fromiter((i for each in ids for i in each), np.int64)
+        flat = np.array(list(chain.from_iterable(ids)), np.int64)
         starts = np.concatenate([[0], np.cumsum([len(each) for each in ids])]).astype(np.int64)
         return cls(flat, np.cumsum(lengths[flat]), starts)
 
     def kept(self, right: np.ndarray, lengths: np.ndarray) -> Tokens:
-        """Those of the parts that are right."""
+        """Those of the texts that are right."""
         sizes = np.diff(self.starts)
         ids = self.ids[np.repeat(right, sizes)]
         starts = np.concatenate([[0], np.cumsum(np.where(right, sizes, 0))]).astype(np.int64)
         return Tokens(ids, np.cumsum(lengths[ids]), starts)
 
     def exact(self, data: np.ndarray, bounds: np.ndarray, made: np.ndarray) -> np.ndarray:
-        """Which parts (bytes ``bounds`` of ``data``) the bytes made of their tokens equal."""
+        """Which texts (bytes ``bounds`` of ``data``) the bytes made of their tokens equal."""
         ends = np.concatenate([[0], self.ends])[self.starts]
         right = np.diff(ends) == np.diff(bounds)
         if len(made) == len(data) and np.array_equal(ends, bounds):
@@ -112,15 +114,38 @@ class Tokens:
 
 
 @dataclass
-class Aligned:
-    """The groups of some parts: for each part its numbers, and the links by kind."""
+class Links:
+    """The links of texts one after another: their numbers, ids and pairs, and written groups."""
 
-    n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
-    written: list[bytes]
-    regular: tuple[np.ndarray, np.ndarray]  # part, id of A
-    pairs: tuple[np.ndarray, np.ndarray]  # part, both ids
+    right: np.ndarray  # Whether the tokens give back the text's bytes.
+    numbers: np.ndarray  # Tokens of A, tokens of B and groups, a column per text.
+    written: list[bytes]  # Each group with its mark behind it.
+    regular: np.ndarray  # Ids of A whose group the identity map foresees,
+    regular_starts: np.ndarray  # and where those of each text begin.
+    pairs: np.ndarray  # Both ids of the other links.
+    pairs_starts: np.ndarray
+
+    @classmethod
+    def none(cls) -> Links:
+        empty, start = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return cls(np.zeros(0, bool), np.zeros((3, 0), np.int64), [], empty, start, empty, start)
+
+    def with_more(self, others: list[Links]) -> Links:
+        every = [self, *others]
+
+        def starts(name: str) -> np.ndarray:
+            sizes = [np.diff(getattr(x, name)) for x in every]
+            return np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+        return Links(
+            np.concatenate([x.right for x in every]),
+            np.concatenate([x.numbers for x in every], axis=1),
+            [w for x in every for w in x.written],
+            np.concatenate([x.regular for x in every]),
+            starts("regular_starts"),
+            np.concatenate([x.pairs for x in every]),
+            starts("pairs_starts"),
+        )
 
 
 def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,141 +155,170 @@ def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), starts
 
 
-def aligned(a: Tokens, b: Tokens, same: np.ndarray, digits: tuple[np.ndarray, np.ndarray]) -> Aligned:
-    """Groups, links and the written form of parts whose bytes are the same for A and B."""
-    parts = len(a.starts) - 1
+def aligned(
+    a: Tokens, b: Tokens, right: np.ndarray, same: np.ndarray, digits: tuple[np.ndarray, np.ndarray]
+) -> Links:
+    """The links of texts whose bytes are the same for A and B, where they are right."""
+    texts = len(a.starts) - 1
     common = np.intersect1d(a.ends, b.ends, assume_unique=True)
     group_a, group_b = np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)
     in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
-    part_a = np.repeat(np.arange(parts), np.diff(a.starts))
-    last_a = np.flatnonzero(np.append(group_a[1:] != group_a[:-1], True)) if len(group_a) else group_a
-    last_b = np.flatnonzero(np.append(group_b[1:] != group_b[:-1], True)) if len(group_b) else group_b
-    part = part_a[last_a]
-    n_groups = np.bincount(part, minlength=parts)
+    text_a = np.repeat(np.arange(texts), np.diff(a.starts))
+    last_a, last_b = np.searchsorted(a.ends, common), np.searchsorted(b.ends, common)
+    text = text_a[last_a]
+    numbers = np.stack([np.diff(a.starts), np.diff(b.starts), np.bincount(text, minlength=texts)])
 
-    alone = (in_a == 1) & (in_b == 1)
-    foreseen = alone & (same[a.ids[last_a]] == b.ids[last_b])
-    regular = part[foreseen], a.ids[last_a][foreseen]
+    foreseen = (in_a == 1) & (in_b == 1) & (same[a.ids[last_a]] == b.ids[last_b])
+    regular = a.ids[last_a][foreseen]
 
     # Each end of a token ends one overlap of a token of A with one of B.
     rest_a, rest_b = a.ends[~foreseen[group_a]], b.ends[~foreseen[group_b]]
     ends = np.union1d(rest_a, rest_b)
     at_a, at_b = np.searchsorted(a.ends, ends), np.searchsorted(b.ends, ends)
-    pairs = part_a[at_a], (a.ids[at_a] << _PAIR_BITS) | b.ids[at_b]
+    pairs = (a.ids[at_a] << _PAIR_BITS) | b.ids[at_b]
 
     # Tokens in the order of the written form: those of A of a group, then those of B.
     before_a = np.concatenate([[0], np.cumsum(in_a)])
     before_b = np.concatenate([[0], np.cumsum(in_b)])
     order = np.empty(len(a.ids) + len(b.ids), np.int64)
-    comma = np.empty(len(order), np.uint8)
+    marks = np.full(len(order), ord(","), np.uint8)
     spot_a = np.arange(len(a.ids)) + before_b[group_a]
     spot_b = np.arange(len(b.ids)) + before_a[group_b + 1]
     order[spot_a], order[spot_b] = a.ids, b.ids
-    comma[:] = ord(",")
-    comma[spot_a[last_a]], comma[spot_b[last_b]] = ord("|"), ord(";")
+    marks[spot_a[last_a]], marks[spot_b[last_b]] = ord("|"), ord(";")
     data, starts = digits
+    written, sizes = gathered(data, starts, order)
+    ends = np.cumsum(sizes)
+    written[ends - 1] = marks
+    whole, cuts = written.tobytes(), np.concatenate([[0], ends])[a.starts + b.starts].tolist()
+    each = np.arange(texts + 1)
+    return Links(
+        right,
+        numbers,
+        [whole[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)],
+        regular,
+        np.searchsorted(text[foreseen], each),
+        pairs,
+        np.searchsorted(text_a[at_a], each),
+    )
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` that ``order`` names one after another, and their sizes."""
     sizes = starts[order + 1] - starts[order]
     ends = np.cumsum(sizes)
-    text = data[np.repeat(starts[order] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-    if len(ends):
-        text[ends - 1] = comma
-    cuts = np.concatenate([[0], ends])[a.starts + b.starts]
-    written = [text[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    return Aligned(np.diff(a.starts), np.diff(b.starts), n_groups, written, regular, pairs)
+    shift = np.repeat(starts[order] - (ends - sizes), sizes)
+    return values[shift + np.arange(len(shift))], sizes
 
 
-def listed(owner: np.ndarray, value: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+def listed(owner: np.ndarray, value: np.ndarray, times: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
     """The distinct values of each row, and how often it holds each, as list arrays."""
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(owner)))
+    sums = np.add.reduceat(times[order], first) if len(first) else times[:0]
     ends = pa.array(np.searchsorted(owner[first], np.arange(rows + 1)).astype(np.int32))
     kept = pa.ListArray.from_arrays(ends, pa.array(value[first]))
-    return kept, pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))
+    return kept, pa.ListArray.from_arrays(ends, pa.array(sums))
 
 
 class Aligner:
-    """Both vocabularies in a task."""
+    """Both vocabularies in a task, and the links of the units it has met.
+
+    A unit is what lies between two places of a text where a space follows another
+    character. Its links are the same in every text, so they are made once, as
+    long as the units held stay within a bound.
+    """
 
     def __init__(self, a: ByteLevel, b: Pieces) -> None:
         self.a, self.b = a, b
         self.same = identity_map(a, b)
         self.digits = decimals(max(len(a.token_bytes), len(b.token_bytes)))
-
-    def parts(self, texts: list[str]) -> tuple[np.ndarray, Aligned]:
-        """Which parts their tokens give back exactly, and the groups of those."""
-        a = Tokens.of(self.a.encode(texts), self.a.lengths)
-        # B writes the space before each part itself.
-        b = Tokens.of(self.b.encode([t[1:] for t in texts]), self.b.lengths)
-        encoded = [t.encode() for t in texts]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = Links.none()
+
+    def learn(self, units: list[str]) -> Links:
+        """The links of new units."""
+        a = Tokens.of(self.a.encode([f" {u}" for u in units]), self.a.lengths)
+        # B writes the space before each unit itself.
+        b = Tokens.of(self.b.encode(units), self.b.lengths)
+        encoded = [f" {u}".encode() for u in units]
         data = np.frombuffer(b"".join(encoded), np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
         right = a.exact(data, bounds, self.a.bytes_of(a.ids)) & b.exact(data, bounds, self.b.bytes_of(b.ids))
         if not right.all():
             a, b = a.kept(right, self.a.lengths), b.kept(right, self.b.lengths)
-        return right, aligned(a, b, self.same, self.digits)
+        return aligned(a, b, right, self.same, self.digits)
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the units of all texts, and how many each text has."""
+        known, found, sizes = self.known, [], np.zeros(len(texts), np.int64)
+        before = len(known)
+        for row in range(len(texts)):
+            text = texts[row].as_py()
+            for part in parts_of(text) if text else ():
+                numbers = [known.setdefault(u, len(known)) for u in _CUT.split(part)]
+                found.append(np.array(numbers, np.int64))
+                sizes[row] += len(numbers)
+        fresh, size, learned = [], 0, []
+        for unit in islice(known, before, None):
+            fresh.append(unit)
+            size += len(unit)
+            if size >= TOGETHER:
+                learned.append(self.learn(fresh))
+                fresh, size = [], 0
+        if fresh:
+            learned.append(self.learn(fresh))
+        if learned:
+            self.held = self.held.with_more(learned)
+        return np.concatenate([np.zeros(0, np.int64), *found]), sizes
 
     def rows(self, texts: pa.Array) -> dict[str, pa.Array]:
         """Numbers, digest, regular ids and irregular pairs of each text."""
-        count = len(texts)
-        numbers = np.zeros((3, count), np.int64)
-        broken = np.zeros(count, bool)
-        hashes = [hashlib.sha256() for _ in range(count)]
-        last: list[bytes] = [b""] * count
-        kinds: tuple[list, list] = ([], [])
-        for owners, parts in self._together(texts):
-            right, found = self.parts(parts)
-            np.logical_or.at(broken, owners, ~right)
-            for number, each in zip(numbers, (found.n_a, found.n_b, found.n_groups), strict=True):
-                np.add.at(number, owners, each)
-            for owner, written in zip(owners, found.written, strict=True):
-                # The last mark is known to be the last when nothing follows.
-                hashes[owner].update(last[owner] + written[:-1])
-                last[owner] = written[-1:]
-            for held, (part, value) in zip(kinds, (found.regular, found.pairs), strict=True):
-                held.append((owners[part], value))
-        numbers[:, broken] = 0
-        columns = {name: pa.array(n) for name, n in zip(("n_a", "n_b", "n_groups"), numbers, strict=True)}
-        tokens = numbers[0] > 0
-        columns["groups_sha256"] = pa.array(
-            [h.hexdigest() if some else "" for h, some in zip(hashes, tokens, strict=True)]
+        if len(self.known) > MOST_UNITS:
+            self.forget()
+        units, sizes = self.numbered(texts)
+        held, count = self.held, len(texts)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        wrong = np.concatenate([[0], np.cumsum(~held.right[units])])[starts]
+        whole = (np.diff(wrong) == 0) & (sizes > 0)
+        columns = {}
+        for name, number in zip(("n_a", "n_b", "n_groups"), held.numbers, strict=True):
+            sums = np.diff(np.concatenate([[0], np.cumsum(number[units])])[starts])
+            columns[name] = pa.array(np.where(whole, sums, 0))
+        written = held.written
+        digests = []
+        for row in range(count):
+            text = b"".join([written[u] for u in units[starts[row] : starts[row + 1]].tolist()])
+            # The last group has no mark behind it.
+            digests.append(hashlib.sha256(text[:-1]).hexdigest() if whole[row] else "")
+        columns["groups_sha256"] = pa.array(digests, pa.string())
+        span = max(len(self.known), 1)
+        keep = np.repeat(whole, sizes)
+        met, times = np.unique(
+            np.repeat(np.arange(count), sizes)[keep] * span + units[keep], return_counts=True
         )
-        for name, held in zip(("regular", "pairs"), kinds, strict=True):
-            owner = np.concatenate([np.zeros(0, np.int64), *[o for o, _ in held]])
-            value = np.concatenate([np.zeros(0, np.int64), *[v for _, v in held]])
-            keep = ~broken[owner]
-            ids, times = listed(owner[keep], value[keep], count)
+        owner, unit = met // span, met % span
+        for name in ("regular", "pairs"):
+            values, lengths = gathered(getattr(held, name), getattr(held, f"{name}_starts"), unit)
+            ids, sums = listed(np.repeat(owner, lengths), values, np.repeat(times, lengths), count)
             columns[name] = ids.cast(pa.list_(pa.int32())) if name == "regular" else ids
-            columns[f"{name}_times"] = times
+            columns[f"{name}_times"] = sums
         return columns
 
-    @staticmethod
-    def _together(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str]]]:
-        owners, parts, size = [], [], 0
-        for row in range(len(texts)):
-            text = texts[row].as_py()
-            for part in parts_of(text) if text else ():
-                owners.append(row)
-                parts.append(part)
-                size += len(part)
-                if size >= TOGETHER:
-                    yield np.array(owners), parts
-                    owners, parts, size = [], [], 0
-        if parts:
-            yield np.array(owners), parts
-
 
 ROW_NUMBERS = "n_a long, n_b long, n_groups long, groups_sha256 string"
-ROW_LINKS = "regular array<int>, regular_times array<int>, pairs array<long>, pairs_times array<int>"
+ROW_LINKS = "regular array<int>, regular_times array<long>, pairs array<long>, pairs_times array<long>"
 
 
 def encoded(docs: DataFrame, a: ByteLevel, b: Pieces) -> DataFrame:
     """doc_id, a key of the text, the numbers of each row and its distinct links; written once."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((a, b))
+    sent = docs.sparkSession.sparkContext.broadcast((a, b))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +329,7 @@ def encoded(docs: DataFrame, a: ByteLevel, b: Pieces) -> DataFrame:
 
     schema = f"doc_id {kind}, _text long, {ROW_NUMBERS}, {ROW_LINKS}"
     rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"), "text").mapInArrow(encode, schema)
-    path = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return stored(rows)
 
 
 def _flat(column: pa.Array) -> np.ndarray:
@@ -426,13 +478,9 @@ def links(
     docs: DataFrame, a: ByteLevel, b: Pieces, most_bytes: int = MOST_BROADCAST_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """The rows with their numbers, and the corpus-wide counts of the pairs of ids."""
-    spark = docs.sparkSession
     same = identity_map(a, b)
     rows = encoded(docs, a, b)
-    path = f"{shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    counted = pair_counts(rows, same)
-    counted.write.parquet(path)
-    counts = spark.read.schema(counted.schema).parquet(path)
+    counts = stored(pair_counts(rows, same))
     if counts.count() * PAIR_BYTES <= most_bytes:
         scored = scored_in_tasks(rows, counts, same)
     else:

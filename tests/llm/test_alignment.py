@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -124,16 +125,25 @@ def test_identity_map_names_equal_bytes():
     assert all(a.token_bytes[i] == b.token_bytes[j] for i, j in enumerate(same) if j >= 0)
 
 
-def test_parts_tokenize_like_the_whole(libraries):
+def test_units_tokenize_like_the_whole(libraries):
     tokenizer, processor = libraries
     rng = random.Random(6)
     for _ in range(100):
         text = "".join(rng.choice("ab the 's \n\t  é日.▁\x1c") for _ in range(300))
-        parts = list(alignment.parts_of(text, 20))
-        assert "".join(parts) == f" {text}"
-        by_parts = [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids]
-        assert by_parts == tokenizer.encode(f" {text}", add_special_tokens=False).ids
-        assert [i for p in parts for i in processor.encode(p[1:])] == processor.encode(text)
+        units = [u for p in alignment.parts_of(text, 20) for u in alignment._CUT.split(p)]
+        assert " ".join(units) == text and len(units) > 1
+        by_units = [i for u in units for i in tokenizer.encode(f" {u}", add_special_tokens=False).ids]
+        assert by_units == tokenizer.encode(f" {text}", add_special_tokens=False).ids
+        assert [i for u in units for i in processor.encode(u)] == processor.encode(text)
+
+
+def test_units_are_forgotten_beyond_a_bound(monkeypatch):
+    aligner = alignment.Aligner(vocabulary(file_of(A)), vocabulary(file_of(B)))
+    given = pa.array(texts(), pa.string())
+    wanted = aligner.rows(given)
+    monkeypatch.setattr(alignment, "MOST_UNITS", 0)
+    for _ in range(2):
+        assert aligner.rows(given) == wanted
 
 
 def test_awkward_documents(spark, libraries):
