@@ -2,10 +2,11 @@
 
 Words are runs of ASCII letters and digits and of everything beyond ASCII, with
 A-Z in lower case. The features of a document are its shingles of five words
-(all its words, if fewer), weighted by TF-IDF: the number of times the shingle occurs, times the mean
-inverse document frequency of its words. Document frequencies are counted over
-all documents in a table of a fixed number of hashed entries, as Spark's hashed
-term frequencies are, so the table that every executor gets never grows.
+(all its words, if fewer), weighted by TF-IDF: the number of times the shingle occurs, times
+ln((documents + 1) / (frequency + 1)) + 1. The frequency is the number of documents that
+hold the shingle, ``FLOOR`` of all documents at least. So boilerplate weighs little,
+all rarer shingles weigh the same, and the table of exact frequencies that every task gets
+has at most the mean number of shingles of a document divided by ``FLOOR`` entries.
 
 Improved consistent weighted sampling draws, per hash function and shingle,
 r and c from Gamma(2, 1) and b from [0, 1); with t = floor(ln w / r + b) and
@@ -15,22 +16,22 @@ Jaccard similarity. Samples are banded, and documents that share a band are
 candidates.
 
 Documents with the same shingles and counts are one node, so copies never make
-pairs. In each bucket a node is paired with the bucket's smallest node and with
-its neighbour in a shuffled order; later rounds pair what is still apart in a
-bucket, one node per component. These rounds only save work: all nodes of buckets
-that hold several components after them are joined on the rarest of their shingles
-(prefix filtering), so that no pair that could reach the limit stays untried.
-Pairs are verified by their exact weighted Jaccard similarity, and the classes are
-the connected components of the links. A class is named by its smallest doc_id.
+pairs. Each node of a bucket is paired with the bucket's smallest node. That only saves
+work: all nodes of buckets that hold several components after it are joined on the
+rarest of their shingles (prefix filtering), so that no pair that could reach the limit
+stays untried there. Pairs are verified by their exact weighted Jaccard similarity, and
+the classes are the connected components of the links. A class is named by its smallest
+doc_id; its first document is the one of the smallest doc_id and, among those, text key.
 
 A document without words, or without a doc_id, is alone; the class of the latter
-is null. Rows that share a doc_id count as one document. An empty table gives an
+is null. Rows that share a doc_id are told apart by their texts. An empty table gives an
 empty result. Only doc_id and text are read, so columns of other names do no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm import grams
-from cohortry.llm.common import cut, small_enough, text_key
+from cohortry.llm.common import apart, cut, small_enough, stored, text_key, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-ROUNDS = 3
-FREQUENCY_ENTRIES = 1 << 18
 
-# Nodes of one bucket that are put in a shuffled order together.
-SHUFFLED_TOGETHER = 1_000
-MOST_BROADCAST_IDS = 500_000
+# The least frequency of a shingle, as a share of all documents.
+FLOOR = 1 / 256
+# Entries of the hashed counts that tell which shingles may be above it.
+HASHED_ENTRIES = 1 << 18
+
+# Rounds of contraction by the order of the nodes; later ones use another order each.
+PLAIN_ROUNDS = 2
 
 # Bounds on sums of weights are loosened by this share, for the rounding of the sums.
 SLACK = 1e-6
@@ -71,34 +74,47 @@ def gamma_tables() -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float32), np.log(x).astype(np.float32)
 
 
-def shingle_weights(
-    block: grams.Block, idf: np.ndarray, length: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """text index, shingle, count and weight of the distinct shingles of each text."""
+@dataclass
+class Rarity:
+    """Inverse document frequencies: of some shingles, in order, and of all others."""
+
+    shingles: np.ndarray
+    values: np.ndarray
+    others: float
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.others)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.values[at], self.others)
+
+
+def distinct_shingles(block: grams.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text index, shingle and count of the distinct shingles of each text."""
     counts = np.diff(block.starts)
     owners = np.repeat(np.arange(len(block)), counts)
-    rarity = np.concatenate([[0.0], np.cumsum(idf[block.hashes % np.uint64(len(idf))])])
     at = np.arange(max(len(block.hashes) - length + 1, 0))
     whole = owners[: len(at)] == owners[length - 1 :] if len(at) else np.zeros(0, bool)
-    at = at[whole]
-    shingles = grams.runs(block.hashes, length)[whole]
-    means = (rarity[at + length] - rarity[at]) / length
-    owner = owners[at]
+    shingles, owner = grams.runs(block.hashes, length)[whole], owners[at[whole]]
     short = np.flatnonzero((counts > 0) & (counts < length))
     if len(short):
         few = [grams.runs(block.hashes[block.words(i)], int(counts[i])) for i in short]
         shingles = np.concatenate([shingles, *few])
-        means = np.concatenate(
-            [means, (rarity[block.starts[short + 1]] - rarity[block.starts[short]]) / counts[short]]
-        )
         owner = np.concatenate([owner, short])
     order = np.lexsort((shingles, owner))
-    owner, shingles, means = owner[order], shingles[order], means[order]
+    owner, shingles = owner[order], shingles[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (shingles[1:] != shingles[:-1])
     first = np.flatnonzero(new)
-    repeats = np.diff(np.append(first, len(owner)))
-    return owner[first], shingles[first], repeats, repeats * means[first]
+    return owner[first], shingles[first], np.diff(np.append(first, len(owner)))
+
+
+def shingle_weights(
+    block: grams.Block, rarity: Rarity, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text index, shingle, count and weight of the distinct shingles of each text."""
+    owner, shingles, repeats = distinct_shingles(block, length)
+    return owner, shingles, repeats, repeats * rarity.of(shingles)
 
 
 def samples(
@@ -172,15 +188,43 @@ def document_counts(
     return held
 
 
-def inverse_frequencies(docs: DataFrame, entries: int) -> np.ndarray:
-    """ln((documents + 1) / (documents with the word + 1)) + 1 per hashed entry."""
-    held = document_counts(
-        docs, lambda block: (np.repeat(np.arange(len(block)), np.diff(block.starts)), block.hashes), entries
+def rarities(docs: DataFrame, length: int, floor: float, entries: int) -> Rarity:
+    """Exact document frequencies of the shingles in more than ``floor`` of the documents.
+
+    Hashed counts are never too low, so they show which shingles may be that frequent;
+    only those are counted one by one.
+    """
+    hashed = document_counts(docs, lambda block: distinct_shingles(block, length)[:2], entries)
+    documents, least = hashed[entries], floor * hashed[entries]
+    sent = docs.sparkSession.sparkContext.broadcast(hashed[:entries] > least)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for block in grams.blocks(batch.column(0), grams.LETTERS):
+                shingles = distinct_shingles(block, length)[1]
+                held.append(shingles[sent.value[shingles % np.uint64(entries)]])
+            shingles, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            yield pa.record_batch({"shingle": pa.array(shingles.view(np.int64)), "held": pa.array(times)})
+
+    found = (
+        docs.select("text")
+        .mapInArrow(counted, "shingle long, held long")
+        .groupBy("shingle")
+        .agg(F.sum("held").alias("held"))
+        .where(F.col("held") > least)
+        .toPandas()
     )
-    return np.log((held[entries] + 1) / (held[:entries] + 1)) + 1
+    shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
 
+    def rarity(held):
+        return np.log((documents + 1) / (held + 1)) + 1
 
-def sketched(docs: DataFrame, idf, length: int, bands: int, rows: int) -> DataFrame:
+    return Rarity(shingles[order], rarity(found["held"].to_numpy(np.float64)[order]), float(rarity(least)))
+
+
+def sketched(docs: DataFrame, rarity, length: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text key, identity of the weighted shingles (null without words), bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -189,7 +233,7 @@ def sketched(docs: DataFrame, idf, length: int, bands: int, rows: int) -> DataFr
         for batch in batches:
             for block in grams.blocks(batch.column(2), grams.LETTERS):
                 part = batch.slice(block.first, len(block))
-                owner, shingles, repeats, weights = shingle_weights(block, idf.value, length)
+                owner, shingles, repeats, weights = shingle_weights(block, rarity.value, length)
                 first = np.zeros(len(block), np.int64)
                 second = np.zeros(len(block), np.int64)
                 keys = np.zeros((len(block), bands), np.int64)
@@ -227,13 +271,13 @@ def similarity(left: tuple, right: tuple) -> float:
     return float(shared / total) if total else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, length: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, rarity, length: int, least: float) -> DataFrame:
     """The pairs (low, high) whose weighted Jaccard similarity is at least ``least``."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def weighted(text: str) -> tuple:
             block = next(grams.blocks(pa.array([text], pa.string()), grams.LETTERS))
-            _, shingles, _, weights = shingle_weights(block, idf.value, length)
+            _, shingles, _, weights = shingle_weights(block, rarity.value, length)
             return shingles, weights
 
         held_text, held = None, None
@@ -258,68 +302,46 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, length: int, least: float)
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node reachable, for every node with an edge.
 
-    Each round takes the smallest label among the neighbours and then the label
-    of that label; it ends when no label changes.
+    Each round moves every node to the smallest of its neighbours and itself, and keeps the
+    edges between nodes that are still apart. They shrink from round to round, whatever
+    the shape of the graph, as later rounds order the nodes by a hash of their own.
     """
-    both = cut(
-        edges.select("low", "high").union(edges.select(F.col("high"), F.col("low"))).distinct()
-    )
-    labels = cut(both.groupBy(F.col("low").alias("node")).agg(F.min("high").alias("near")).select(
-        "node", F.least("node", "near").alias("label")
-    ))
+    edges = edges.select("low", "high").where("low <> high")
+    steps: list[DataFrame] = []
     while True:
-        near = (
-            both.join(labels.withColumnsRenamed({"node": "high", "label": "theirs"}), "high")
-            .groupBy(F.col("low").alias("node"))
-            .agg(F.min("theirs").alias("theirs"))
+        round_ = len(steps)
+
+        def ordered(node: str):
+            drawn = F.xxhash64(F.lit(round_), node) if round_ >= PLAIN_ROUNDS else F.lit(0)  # noqa: B023
+            return F.struct(drawn.cast("long").alias("drawn"), F.col(node).alias("node"))
+
+        both = edges.union(edges.select("high", "low"))
+        smallest = both.groupBy("low").agg(F.min(ordered("high")).alias("near"))
+        step = cut(smallest.select(F.col("low").alias("node"), F.least("near", ordered("low"))["node"].alias("to")))
+        steps.append(step)
+        moved = edges.join(step.withColumnsRenamed({"node": "low", "to": "left"}), "low").join(
+            step.withColumnsRenamed({"node": "high", "to": "right"}), "high"
         )
-        lower = labels.join(near, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "theirs").alias("mid")
+        edges = cut(
+            moved.where("left <> right")
+            .select(F.least("left", "right").alias("low"), F.greatest("left", "right").alias("high"))
+            .distinct()
         )
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("beyond"))
-        moved = cut(
-            lower.join(jump, "mid").select("node", "old", F.least("mid", "beyond").alias("label"))
-        )
-        changed = moved.where("label <> old").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
-
-
-def candidate_pairs(buckets: DataFrame, round_: int) -> DataFrame:
-    """Pairs (low, high) of nodes of different components within buckets.
-
-    ``buckets`` has key, node and label. Each component of a bucket is stood for by one
-    node, another one in each round.
-    """
-    drawn = F.struct(F.xxhash64(F.lit(round_), "key", "node").alias("drawn"), F.col("node").alias("node"))
-    shown = (
-        buckets.groupBy("key", "label").agg(F.min(drawn).alias("shown"))
-        if round_
-        else buckets.withColumn("shown", drawn)
-    )
-    shown = shown.select("key", "label", "shown.drawn", "shown.node")
-    leaders = (
-        shown.groupBy("key")
-        .agg(F.min(F.struct("label", "node")).alias("leader"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("key", F.col("leader.node").alias("leader"), "size")
-    )
-    met = shown.join(leaders, "key")
-    parts = F.ceil(F.col("size") / SHUFFLED_TOGETHER)
-    beside = F.lag("node").over(
-        Window.partitionBy("key", F.pmod(F.xxhash64("node"), parts)).orderBy("drawn", "node")
-    )
-    return (
-        met.withColumn("beside", beside)
-        .select("node", F.explode(F.array("leader", "beside")).alias("other"))
-        .where("node <> other")
-        .select(F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"))
-        .distinct()
-    )
-
-
-def prefixes(texts: DataFrame, idf, length: int, least: float, entries: int) -> DataFrame:
+        if edges.isEmpty():
+            break
+    found = steps[0]
+    for step in steps[1:]:
+        later = step.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        found = found.join(later, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
+    if len(steps) <= PLAIN_ROUNDS:
+        # Nodes moved to smaller ones only, so the last is the smallest.
+        return cut(found.withColumnRenamed("to", "label"))
+    found = cut(found)
+    names = found.groupBy("to").agg(F.min("node").alias("label"))
+    return cut(found.join(names, "to").select("node", "label"))
+
+
+def prefixes(texts: DataFrame, rarity, length: int, least: float, entries: int) -> DataFrame:
     """shingle, node, label, total weight of the node and its weight from the shingle on.
 
     The shingles of a node are put in one order for all nodes, rarest first, and listed
@@ -327,14 +349,14 @@ def prefixes(texts: DataFrame, idf, length: int, least: float, entries: int) ->
     similar enough share a listed shingle: from the first shared one on, both
     hold all they share.
     """
-    held = document_counts(texts, lambda block: shingle_weights(block, idf.value, length)[:2], entries)
+    held = document_counts(texts, lambda block: shingle_weights(block, rarity.value, length)[:2], entries)
     counts = texts.sparkSession.sparkContext.broadcast(held[:entries])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in grams.blocks(batch.column("text"), grams.LETTERS):
                 part = batch.slice(block.first, len(block))
-                owner, shingles, _, weights = shingle_weights(block, idf.value, length)
+                owner, shingles, _, weights = shingle_weights(block, rarity.value, length)
                 holders = counts.value[shingles % np.uint64(entries)]
                 order = np.lexsort((shingles, holders, owner))
                 owner, shingles, weights, holders = owner[order], shingles[order], weights[order], holders[order]
@@ -387,82 +409,97 @@ def remaining_pairs(listed: DataFrame, least: float) -> DataFrame:
     )
 
 
-def classes(
+def links_of(
+    docs: DataFrame, nodes: DataFrame, rarity, length: int, least: float
+) -> DataFrame:
+    """node and label of the nodes (node, bands) that are linked with another one."""
+    buckets = nodes.select(F.explode("bands").alias("key"), "node")
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("_size"))
+    met = cut(buckets.join(leaders.where("_size > 1"), "key").select("key", "node", "leader"))
+    star = met.where("node <> leader").select(F.col("leader").alias("low"), F.col("node").alias("high"))
+    star = cut(star.distinct())
+    texts = texts_of(docs, met.select("node").distinct())
+    labels = components(cut(verified(star, texts, rarity, length, least)))
+    labelled = met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    torn = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+    rest = cut(labelled.join(torn.where("_low <> _high").select("key"), "key").select("node", "label").distinct())
+    if rest.isEmpty():
+        return labels
+    some = stored(texts.join(rest, "node"))
+    listed = cut(prefixes(some, rarity, length, least, HASHED_ENTRIES))
+    pairs = cut(remaining_pairs(listed, least).join(star, ["low", "high"], "left_anti"))
+    more = verified(pairs, some, rarity, length, least)
+    low, high = (
+        rest.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")) for side in ("low", "high")
+    )
+    between = more.join(low, "low").join(high, "high")
+    # Edges between components, which are far fewer than those between documents.
+    joined = components(cut(between.select(F.col("low_label").alias("low"), F.col("high_label").alias("high")).distinct()))
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    every = labels.unionByName(rest.select("node", "label")).distinct()
+    return cut(every.join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label")))
+
+
+def members(
     docs: DataFrame,
     length: int = SHINGLE,
     least: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
-    rounds: int = ROUNDS,
-    entries: int = FREQUENCY_ENTRIES,
+    floor: float = FLOOR,
 ) -> DataFrame:
-    """doc_id and class_id of every row."""
+    """doc_id and text key of every row, and the (doc_id, text key) that its class is named by.
+
+    The name is null for rows without words or without a doc_id.
+    """
     docs = docs.select("doc_id", "text")
-    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(docs, entries))
-    sketches = cut(sketched(docs, idf, length, bands, rows))
+    rarity = docs.sparkSession.sparkContext.broadcast(rarities(docs, length, floor, HASHED_ENTRIES))
+    sketches = cut(sketched(docs, rarity, length, bands, rows))
     named = sketches.where("doc_id is not null and first is not null")
     node = F.struct("doc_id", "_text")
-    # Written on its own, so that Spark can split the join of many copies with it below.
-    nodes = cut(
-        named.groupBy("first", "second").agg(F.min(node).alias("node"), F.any_value("bands").alias("bands"))
+    nodes = named.groupBy("first", "second").agg(F.min(node).alias("node"), F.any_value("bands").alias("bands"))
+    nodes = cut(nodes)
+    labels = links_of(docs, nodes, rarity, length, least)
+    # Written on its own, so that Spark can split its join with many copies.
+    labelled = cut(
+        nodes.select("first", "second", "node")
+        .join(labels, "node", "left")
+        .select("first", "second", F.coalesce("label", "node").alias("name"))
     )
-    buckets = cut(nodes.select(F.explode("bands").alias("key"), "node"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("_size")).where("_size > 1").select("key")
-    buckets = cut(buckets.join(shared, "key").withColumn("label", F.col("node")))
-    found = tried = None
-    for round_ in range(rounds):
-        pairs = candidate_pairs(buckets, round_)
-        if tried is not None:
-            pairs = pairs.join(tried, ["low", "high"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        met = pairs.select(F.col("low").alias("node")).union(pairs.select("high")).distinct()
-        links = cut(verified(pairs, texts_of(docs, met), idf, length, least))
-        found = links if found is None else found.union(links)
-        tried = pairs if tried is None else tried.union(pairs)
-        labels = components(found)
-        buckets = cut(
-            buckets.drop("label")
-            .join(labels, "node", "left")
-            .select("key", "node", F.coalesce("label", "node").alias("label"))
-        )
-    if found is not None:
-        apart = buckets.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-        apart = buckets.join(apart.where("_low <> _high").select("key"), "key")
-        apart = cut(apart.select("node", "label").distinct())
-        if not apart.isEmpty():
-            texts = cut(texts_of(docs, apart.select("node")).join(apart, "node"))
-            listed = cut(prefixes(texts, idf, length, least, entries))
-            pairs = cut(remaining_pairs(listed, least).join(tried, ["low", "high"], "left_anti"))
-            found = found.union(cut(verified(pairs, texts, idf, length, least)))
-    members = named.join(nodes.select("first", "second", "node"), ["first", "second"])
-    links = members.select("doc_id", F.col("node.doc_id").alias("other"))
-    if found is not None:
-        links = links.union(found.select("low.doc_id", "high.doc_id"))
-    links = links.where("doc_id <> other").select(
-        F.least("doc_id", "other").alias("low"), F.greatest("doc_id", "other").alias("high")
+    found = named.select("doc_id", "_text", "first", "second").join(labelled, ["first", "second"])
+    alone = sketches.where("doc_id is null or first is null")
+    return found.select("doc_id", "_text", "name").unionByName(
+        alone.select("doc_id", "_text"), allowMissingColumns=True
     )
-    joined = components(links)
-    return sketches.select("doc_id").join(
-        joined.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left"
-    ).select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+
+
+def classes(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id and class_id of every row."""
+    return members(docs, **settings).select("doc_id", F.coalesce("name.doc_id", "doc_id").alias("class_id"))
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and text of the given nodes."""
-    wanted = small_enough(cut(nodes).select("node.doc_id", "node._text"), MOST_BROADCAST_IDS)
-    read = docs.withColumn("_text", text_key(F.col("text"))).join(wanted, ["doc_id", "_text"])
+    wanted = small_enough(cut(nodes).select("node.doc_id", "node._text"))
+    read = docs.withColumn("_text", text_key(F.col("text"))).join(wanted, ["doc_id", "_text"], "left_semi")
     node = F.struct("doc_id", "_text")
-    return cut(read.groupBy(node.alias("node")).agg(F.any_value("text").alias("text")))
+    return stored(read.groupBy(node.alias("node")).agg(F.any_value("text").alias("text")))
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id."""
-    found = cut(classes(docs, **settings))
-    dropped = small_enough(cut(found.where("class_id <> doc_id").select("doc_id").distinct()), MOST_BROADCAST_IDS)
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    """The first document of each class, and of rows with one doc_id and text the first by a hash."""
+    found = cut(members(docs, **settings))
+    others = found.where("name is not null and name <> struct(doc_id, _text)").select("doc_id", "_text").distinct()
+    dropped, its = apart(small_enough(cut(others)), docs)
+    key = text_key(docs["text"])
+    kept = docs.join(dropped, (docs["doc_id"] == its["doc_id"]) & (key == its["_text"]), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id", "_text").count().where("count > 1")
+    repeated = cut(repeated.select("doc_id", "_text"))
     if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+        return kept.select(docs.columns)
+    twice, its = apart(small_enough(repeated), docs)
+    same = (docs["doc_id"] == its["doc_id"]) & (key == its["_text"])
+    line = Window.partitionBy(docs["doc_id"], key).orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    place = unused(docs, "place")
+    first = kept.join(twice, same, "left_semi").withColumn(place, F.row_number().over(line)).where(F.col(place) == 1)
+    return kept.join(twice, same, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
