@@ -5,16 +5,18 @@ document is an edge of the graph. An edge that also starts in a document with a
 smaller doc_id has a source: its place in the smallest such document. The words
 of every edge with a source are removed; edges are judged on the input.
 
-Equal edges hold the same smallest gram of ``gram`` words, so the edges are
-shuffled by the hash of that gram, neighbours with the same gram in one row.
-Grams that stay within one document are dropped there, and the rest finds the
-source of each edge. Grams that a sample shows in a large share of the documents would
-fill one task each; their edges are salted, and aggregated before the shuffle. The sample, bounded as a share, decides on the way only.
+Equal edges hold the same smallest gram of ``gram`` words; neighbouring edges with the same
+gram are one row. First only (gram, doc_id, number of the row) are shuffled, to find the
+grams that several documents hold. What comes back is one bit per row and document. Then
+the rows so marked are made again with the hashes of their edges and shuffled by gram, and
+each edge finds its source. Grams that a sample shows in a large share of the documents
+would fill one task each; they are taken as marked, and their edges are salted and aggregated
+before the shuffle. The sample, bounded as a share, decides on the way only.
 
 Edges that follow each other in the document and in its source form a path
 without branches. Paths are compacted piece by piece, and each is verified: the
-source document is read at the source coordinates, and an independent hash of every
-edge there is joined to the document and compared with the edge itself.
+source document is read at the source coordinates, and a hash of every edge there, made of
+other word hashes, is joined to the document and compared with the edge itself.
 
 A null or empty text has no words. A row without a doc_id is neither cut nor a
 source. Rows that share a doc_id count as one document for the comparison, and
@@ -25,6 +27,7 @@ and text are read, so columns of other names do no harm.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm import grams
-from cohortry.llm.common import cut
+from cohortry.llm.common import cut, small_enough
 
 SPAN = 13
 GRAM = 5
@@ -115,35 +118,118 @@ def frequent_grams(docs: DataFrame, span: int, gram: int) -> np.ndarray:
     return np.sort(rows.select("gram").toPandas()["gram"].to_numpy(np.int64))
 
 
-def edge_rows(docs: DataFrame, frequent, span: int, gram: int, wanted: bool) -> DataFrame:
-    """gram, doc_id, place and the edges from there on, of frequent grams or of the others."""
+@dataclass
+class Rows:
+    """Rows of neighbouring edges with one gram, in the texts of a block."""
+
+    owner: np.ndarray
+    gram: np.ndarray
+    place: np.ndarray
+    hashes: np.ndarray  # of all edges,
+    begins: np.ndarray  # and where those of each row begin.
+
+    @classmethod
+    def of(cls, block: grams.Block, span: int, gram: int) -> Rows:
+        owner, place, smallest, hashes = edges_of(block, span, gram)
+        begins = rows_of(owner, place, smallest)
+        return cls(owner[begins], smallest[begins], place[begins], hashes, np.append(begins, len(owner)))
+
+    @property
+    def numbers(self) -> np.ndarray:
+        """The number of each row within its text."""
+        first = np.searchsorted(self.owner, self.owner)
+        return np.arange(len(self.owner)) - first
+
+    def listed(self, taken: np.ndarray, block: grams.Block, doc_ids: pa.Array) -> pa.RecordBatch:
+        """The rows ``taken``, with their edges."""
+        sizes = np.diff(self.begins)[taken]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        each = np.repeat(self.begins[taken] - ends[:-1], sizes) + np.arange(ends[-1])
+        return pa.record_batch(
+            {
+                "gram": pa.array(self.gram[taken]),
+                "doc_id": doc_ids.take(pa.array(self.owner[taken] + block.first)),
+                "place": pa.array(self.place[taken].astype(np.int32)),
+                "edges": pa.ListArray.from_arrays(pa.array(ends), pa.array(self.hashes[each])),
+            }
+        )
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shared_rows(docs: DataFrame, frequent, span: int, gram: int) -> DataFrame:
+    """_id and the bits of the rows whose gram another document holds too.
+
+    Grams known to be frequent are left out. Rows of several texts of one doc_id
+    share their bits, which marks too many rows, never too few.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in grams.blocks(batch.column(1), grams.SPACED):
-                owner, place, smallest, hashes = edges_of(block, span, gram)
-                common = np.isin(smallest, frequent.value)
-                if not wanted:
-                    common = ~common
-                owner, place, smallest, hashes = owner[common], place[common], smallest[common], hashes[common]
-                begins = rows_of(owner, place, smallest)
-                if len(begins):
-                    ends = np.append(begins, len(owner)).astype(np.int32)
-                    yield pa.record_batch(
-                        {
-                            "gram": pa.array(smallest[begins]),
-                            "doc_id": batch.column(0).take(pa.array(owner[begins] + block.first)),
-                            "place": pa.array(place[begins].astype(np.int32)),
-                            "edges": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes)),
-                        }
-                    )
+                rows = Rows.of(block, span, gram)
+                taken = np.flatnonzero(~np.isin(rows.gram, frequent.value))
+                yield pa.record_batch(
+                    {
+                        "gram": pa.array(rows.gram[taken]),
+                        "doc_id": batch.column(0).take(pa.array(rows.owner[taken] + block.first)),
+                        "row": pa.array(rows.numbers[taken].astype(np.int32)),
+                    }
+                )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return known_documents(docs).mapInArrow(
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for numbers in batch.column(1):
+                some = numbers.values.to_numpy()
+                marks = np.zeros(some.max() + 1, bool)
+                marks[some] = True
+                bits.append(np.packbits(marks, bitorder="little").tobytes())
+            yield pa.record_batch({"_id": batch.column(0), "bits": pa.array(bits, pa.binary())})
+
+    within = Window.partitionBy("gram")
+    shared = (
+        known_documents(docs)
+        .mapInArrow(held, f"gram long, doc_id {kind}, row int")
+        .withColumn("_first", F.min("doc_id").over(within))
+        .withColumn("_last", F.max("doc_id").over(within))
+        .where("_first < _last")
+    )
+    numbers = shared.groupBy("doc_id").agg(F.collect_set("row").alias("rows"))
+    return cut(numbers.mapInArrow(packed, f"_id {kind}, bits binary"))
+
+
+def edge_rows(marked: DataFrame, frequent, span: int, gram: int, wanted: bool) -> DataFrame:
+    """gram, doc_id, place and the edges from there on, of frequent grams or of the rows with a bit."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in grams.blocks(batch.column(1), grams.SPACED):
+                rows = Rows.of(block, span, gram)
+                common = np.isin(rows.gram, frequent.value)
+                if wanted:
+                    taken = common
+                else:
+                    taken = ~common & held_bits(rows, batch.column(2).slice(block.first, len(block)))
+                taken = np.flatnonzero(taken)
+                if len(taken):
+                    yield rows.listed(taken, block, batch.column(0))
+
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return marked.mapInArrow(
         listed, f"gram long, doc_id {kind}, place int, edges array<long>"
     )
 
 
+def held_bits(rows: Rows, bits: pa.Array) -> np.ndarray:
+    """Which rows have their bit set; a text without bits has none."""
+    each = [b.as_py() or b"" for b in bits]
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in each])]).astype(np.int64)
+    data = np.frombuffer(b"".join(each) + b"\0", np.uint8)
+    at = starts[rows.owner] + (rows.numbers >> 3)
+    fits = at < starts[rows.owner + 1]
+    return fits & ((data[np.where(fits, at, 0)] >> (rows.numbers & 7)) & 1).astype(bool)
+
+
 def opened(rows: DataFrame) -> DataFrame:
     """One row per edge; ``at`` is its number within its row."""
     return rows.select("gram", "doc_id", "place", F.posexplode("edges").alias("at", "edge"))
@@ -170,19 +256,17 @@ def sourced_pieces(docs: DataFrame, span: int, gram: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast
     frequent = frequent_grams(docs, span, gram)
     marked = sent(frequent)
-    within = Window.partitionBy("gram")
-    rows = edge_rows(docs, marked, span, gram, wanted=False)
-    shared = (
-        rows.withColumn("_first", F.min("doc_id").over(within))
-        .withColumn("_last", F.max("doc_id").over(within))
-        .where("_first < _last")
-    )
+    texts = known_documents(docs)
+    bits = small_enough(shared_rows(docs, marked, span, gram))
+    with_bits = texts.join(bits, texts["doc_id"] == bits["_id"]).select("doc_id", "text", "bits")
+    # Shuffled by gram while several edges still are one row; what follows needs no other shuffle.
+    shared = edge_rows(with_bits, marked, span, gram, wanted=False).repartition("gram")
     # Edges with one hash share their gram, so this needs no second shuffle.
     same = Window.partitionBy("gram", "edge")
     found = pieces(opened(shared).withColumn("source", F.min(F.struct("doc_id", spot)).over(same)))
     if len(frequent):
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-        often = cut(opened(edge_rows(docs, marked, span, gram, wanted=True)).select("*", salt))
+        often = cut(opened(edge_rows(texts, marked, span, gram, wanted=True)).select("*", salt))
         # The first place per salt, then of all salts, of which an edge has few; it
         # meets the edges of its salt again, so no task holds all of one edge.
         first = often.groupBy("gram", "edge", "salt").agg(F.min(F.struct("doc_id", spot)).alias("source"))
@@ -217,7 +301,7 @@ def paths(found: DataFrame) -> DataFrame:
 
 
 def check_hashes(block: grams.Block, i: int, span: int) -> np.ndarray:
-    """An independent hash of each edge of text i."""
+    """A hash of each edge of text i; the block has other word hashes than the graph."""
     return _low_half(grams.runs(block.hashes[block.words(i)], span, CHECK_SEED))
 
 
@@ -234,7 +318,7 @@ def verified_paths(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in grams.blocks(batch.column(0), grams.SPACED):
+            for block in grams.blocks(batch.column(0), grams.SPACED, seed=CHECK_SEED):
                 part = batch.slice(block.first, len(block))
                 for i in range(len(block)):
                     hashes = check_hashes(block, i, span)
@@ -297,7 +381,7 @@ def cut_documents(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in grams.blocks(batch.column(1), grams.SPACED):
+            for block in grams.blocks(batch.column(1), grams.SPACED, seed=CHECK_SEED):
                 part = batch.slice(block.first, len(block))
                 words, removed, texts = [], [], []
                 for i in range(len(block)):

@@ -7,6 +7,7 @@ import pytest
 from cohortry.llm import repeated_spans
 from cohortry.llm.repeated_spans import cut_documents, digest, sliding_minimum
 from tests.llm.edges import WORDS, awkward, documents, nothing
+from tests.llm.test_grams import thue_morse
 
 
 def words_of(text):
@@ -105,6 +106,27 @@ def test_one_doc_id_with_two_texts(spark):
     assert rows == [(1, 0), (2, 0), (2, 30), (3, 30)]
 
 
+def test_words_that_only_a_better_hash_tells_apart(spark):
+    left, right = thue_morse(2048)
+    rows = [(1, " ".join([left] + WORDS[:12]), "s"), (2, " ".join([right] + WORDS[:12]), "s")]
+    rows.append((3, " ".join([left] + WORDS[:12]), "s"))
+    assert judged(documents(spark, rows)) == brute([(i, t) for i, t, _ in rows])
+
+
+def test_bits_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(repeated_spans, "small_enough", lambda df: df)
+    rows = overlapping(6)
+    assert judged(documents(spark, rows)) == brute([(i, t) for i, t, _ in rows])
+
+
+def test_only_rows_that_documents_share_are_marked(spark):
+    rows = [(1, " ".join(WORDS[:60]), "s"), (2, " ".join(WORDS[40:100]), "s"), (3, " ".join(WORDS[200:260]), "s")]
+    nothing_frequent = spark.sparkContext.broadcast(np.zeros(0, np.int64))
+    docs = documents(spark, rows)
+    bits = {r["_id"]: bytes(r["bits"]) for r in repeated_spans.shared_rows(docs, nothing_frequent, 13, 5).collect()}
+    assert set(bits) == {1, 2} and all(0 < sum(b.bit_count() for b in held) < 12 for held in bits.values())
+
+
 def test_sliding_minimum():
     draw = np.random.default_rng(1)
     values = draw.integers(0, 50, 200).astype(np.uint64)
