@@ -238,3 +238,14 @@ def test_side_by_side_keeps_cells_without_control(spark, small):
     assert got["BUILDING"]["unit_risk_rate_control"] is None
     assert got["BUILDING"]["unit_risk_rate_treatment"] is not None
     assert got["FURNITURE"]["unit_risk_rate_control"] is not None
+
+
+def test_an_account_of_two_customers_counts_once(spark):
+    accounts = spark.createDataFrame(
+        [("s", 1, 10, 3, 1), ("s", 2, 10, 2, 0), ("s", 2, 11, 1, 0), ("r", 3, None, 1, 0)],
+        "segment string, customer_id long, account_id long, bills long, had_default int",
+    )
+    found = {r["segment"]: r.asDict() for r in exp.funnel(accounts).collect()}
+    assert found["s"]["unique_accounts"] == 2 and found["r"]["unique_accounts"] == 0
+    assert (found["s"]["total_rows"], found["s"]["unique_customers"]) == (6, 2)
+    assert found["s"]["unique_customers_defaulted"] == 1
