@@ -6,6 +6,7 @@ from cohortry.catalog import (  # noqa: F401
     experiment,
     frames,
     guards,
+    mechanisms,
     offers,
     primitives,
     uplift,

@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 __all__ = [
     "any_like",
@@ -25,6 +26,7 @@ __all__ = [
     "ratio",
     "ratio_if_positive",
     "rounded_mean",
+    "row_bytes",
     "square",
 ]
 
@@ -118,3 +120,20 @@ def compound_cost(principal: Column, periodic_rate: Column, periods: Column) ->
 def bucket_floor(value: Column, width: int) -> Column:
     """Lower edge of the equal-width bucket the value falls in."""
     return F.floor(value / F.lit(width)) * F.lit(width)
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.ArrayType):
+        start = F.lit(16).cast("long")
+        return F.coalesce(F.aggregate(value, start, lambda held, x: held + _value_bytes(x, kind.elementType)), start)
+    if isinstance(kind, T.StructType):
+        return sum((_value_bytes(value[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row of the schema takes in memory."""
+    each = (_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in schema)
+    return sum(each, F.lit(16)).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -19,13 +20,17 @@ Stage = Callable[[DataFrame, str], DataFrame]
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent, it lies below the warehouse, which the
-    executors and the driver share as well.
+    Where the setting is absent, it lies below the warehouse. A cluster whose warehouse is
+    a folder of the driver's machine is refused, since its executors do not see that.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    scheme = warehouse.split(":", 1)[0] if ":" in warehouse else "file"
+    if scheme == "file" and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that driver and executors share")
+    return f"{warehouse}/_stages"
 
 
 def new_location(spark: SparkSession, name: str) -> str:
