@@ -5,15 +5,19 @@ each counts as ln(1 + occurrences). Spark counts on a labelled sample in how man
 toxic and clean documents every feature occurs, and the features that tell the
 two apart best (likelihood ratio) are kept.
 
-Labels only mark toxic rows, so grades are made from them: clean rows have grade
-0, toxic rows 1 to ``grades``, in equal parts by how often features enriched in
-toxic documents occur. The regression shares one weight vector across the ordered
+Labels only mark toxic rows, so grades are made from them by cross-fitting: the sample is dealt
+into two halves by a hash of doc_id, a logistic regression on the labels of each half scores
+the other one, and the toxic rows of a half get grades 1 to ``grades``, in equal parts by that
+score; clean rows have grade 0. So no row's grade is made by a model that has seen its label. The
+features are chosen on the whole sample. Where a half lacks a class, all rows score
+themselves. The regression shares one weight vector across the ordered
 thresholds: P(grade > k) = logistic(w x - t_k), t_0 < t_1 < ... The severity of
 a document is its expected grade, the sum of these; a document is rejected if the
 severity reaches a limit.
 
-The sample is bounded per class, and drawn by a hash of doc_id from the rows
-outside a held-out fold; rows are weighted so that the classes count as in all
+The sample is bounded per class, and drawn by a hash from the rows of ``labels`` and then of
+their documents outside a held-out fold; rows that repeat a doc_id and its text count
+once. Rows are weighted so that the classes count as in all
 labels outside the fold. A null or empty text has no features and gets the
 severity of that. Without labels of both classes nothing is toxic and every
 severity is 0. Null labels do not count, and labels that repeat a doc_id
@@ -34,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import LOWER, UPPER, ascii_lower
+from cohortry.llm.common import LOWER, UPPER, ascii_lower, cut, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BEGINNINGS = (4, 5, 6)
@@ -116,8 +120,8 @@ def likelihood_ratio(toxic: Column, clean: Column, all_toxic: int, all_clean: in
     return 2 * (part(toxic, all_toxic) + part(clean, all_clean))
 
 
-def chosen_features(sample: DataFrame, sizes: dict[int, int], most: int) -> list[tuple[str, bool]]:
-    """The most telling features, and whether toxic documents hold them more often."""
+def chosen_features(sample: DataFrame, sizes: dict[int, int], most: int) -> list[str]:
+    """The most telling features."""
     words = F.array_distinct(
         F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
     )
@@ -129,11 +133,9 @@ def chosen_features(sample: DataFrame, sizes: dict[int, int], most: int) -> list
         .agg(F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("clean"))
         .where(F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS)
     )
-    more = F.col("toxic") / sizes[1] > F.col("clean") / sizes[0]
     rows = (
         counted.select(
             "feature",
-            more.alias("more"),
             likelihood_ratio(F.col("toxic"), F.col("clean"), sizes[1], sizes[0]).alias("ratio"),
         )
         .where(F.col("ratio") >= LEAST_RATIO)
@@ -141,7 +143,7 @@ def chosen_features(sample: DataFrame, sizes: dict[int, int], most: int) -> list
         .limit(most)
         .collect()
     )
-    return [(r["feature"], r["more"]) for r in rows]
+    return [r["feature"] for r in rows]
 
 
 def _beginnings(words: Column, length: int) -> Column:
@@ -150,12 +152,27 @@ def _beginnings(words: Column, length: int) -> Column:
     )
 
 
-def graded(labels: np.ndarray, found: np.ndarray, grades: int) -> np.ndarray:
-    """0 for clean rows; toxic ones by their rank in ``found``, ties together."""
+def graded(labels: np.ndarray, scores: np.ndarray, grades: int) -> np.ndarray:
+    """0 for clean rows; toxic ones by their rank in ``scores``, ties together."""
     result = np.zeros(len(labels), int)
     toxic = labels == 1
-    bounds = np.quantile(found[toxic], np.arange(1, grades) / grades)
-    result[toxic] = 1 + np.searchsorted(bounds, found[toxic], side="left")
+    if toxic.any():
+        bounds = np.quantile(scores[toxic], np.arange(1, grades) / grades)
+        result[toxic] = 1 + np.searchsorted(bounds, scores[toxic], side="left")
+    return result
+
+
+def cross_graded(
+    x: np.ndarray, labels: np.ndarray, halves: np.ndarray, weights: np.ndarray, grades: int
+) -> np.ndarray:
+    """Grades of each half by a binary model of the other half's labels."""
+    sides = [np.flatnonzero(halves == h) for h in (0, 1)]
+    if any(len(np.unique(labels[side])) < 2 for side in sides):
+        sides = [np.arange(len(labels))] * 2
+    result = np.zeros(len(labels), int)
+    for side, other in (sides, sides[::-1]):
+        slopes, _ = fitted(x[other], labels[other], weights[other], 1)
+        result[side] = graded(labels[side], x[side] @ slopes, grades)
     return result
 
 
@@ -196,13 +213,20 @@ def trained(
         return None
     hashed = F.xxhash64("doc_id")
     drawn = [known.where(F.col("_label") == c).orderBy(hashed, "doc_id").limit(rows_per_class) for c in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
+    held = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
+        .withColumn("_text", text_key(F.col("text")))
+        .dropDuplicates(["doc_id", "_text"])
+    )
+    # One doc_id may have many texts, so the rows are bounded as well as the labels.
+    each = [held.where(F.col("_label") == c).orderBy(hashed, "doc_id", "_text").limit(rows_per_class) for c in (0, 1)]
+    sample = cut(each[0].union(each[1]).drop("_text"))
     sizes = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
     if len(sizes) < 2:
         return None
     chosen = chosen_features(sample, sizes, most)
-    features = {name: i for i, (name, _) in enumerate(chosen)}
-    enriched = np.array([more for _, more in chosen], bool)
+    features = {name: i for i, name in enumerate(chosen)}
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(features)
@@ -236,10 +260,11 @@ def trained(
     x = np.zeros((len(rows), len(features)), np.float32)
     x[held["row"].to_numpy(), held["feature"].to_numpy()] = held["times"].to_numpy()
     given = rows["_label"].to_numpy()
-    found = x[:, enriched].sum(1)
     total = sum(counts.values())
     share = np.array([counts[c] / total * len(rows) / sizes[c] for c in (0, 1)])
-    weights, thresholds = fitted(np.log1p(x, out=x), graded(given, found, grades), share[given], grades)
+    np.log1p(x, out=x)
+    halves = np.array([zlib.crc32(f"half:{i}".encode()) % 2 for i in rows["doc_id"]], int)
+    weights, thresholds = fitted(x, cross_graded(x, given, halves, share[given], grades), share[given], grades)
     return Model(features, weights, thresholds)
 
 

@@ -1,6 +1,7 @@
 """Toxicity grades and quality scores: held-out accuracy and awkward inputs."""
 
 import binascii
+import re
 
 import numpy as np
 import pytest
@@ -136,3 +137,72 @@ def test_toxicity_of_awkward_rows(spark, tables):
     kept = toxicity.without_toxic(docs, labels)
     assert same_schema(kept, docs) and kept.count() <= 11
     assert toxicity.graded_documents(nothing(spark), labels).count() == 0
+
+
+def plain_probability(network, text):
+    """The network one byte, one filter and one chunk at a time."""
+    data = (text or "").encode("utf-8", "replace")
+    blocks = max(-(-len(data) // quality.BLOCK), 1)
+    data = data + bytes(blocks * quality.BLOCK - len(data) + quality.WIDTH - 1)
+    pooled = []
+    for chunk in range(max(blocks - 1, 1)):
+        places = range(chunk * quality.BLOCK, min(chunk + 2, blocks) * quality.BLOCK)
+        row = []
+        for f in range(quality.FILTERS):
+            best = max(sum(float(network.filters[j, data[p + j], f]) for j in range(quality.WIDTH)) for p in places)
+            row.append(max(best + float(network.offsets[f]), 0.0))
+        pooled.append(row)
+    total = float(network.bias)
+    for f in range(quality.FILTERS):
+        column = [row[f] for row in pooled]
+        total += sum(column) / len(column) * network.mean_weights[f] + max(column) * network.max_weights[f]
+    return 1 / (1 + np.exp(-total))
+
+
+@pytest.mark.parametrize("text", ["", "short", "A text of a few blocks, é and more. " * 5])
+def test_probability_matches_a_plain_loop(text):
+    network = quality.Network.start(3, 0.1)
+    assert quality.probability(network, text) == pytest.approx(plain_probability(network, text), abs=1e-5)
+
+
+def plain_severity(model, text):
+    words = re.findall(toxicity.WORD, (text or "").translate(str.maketrans(toxicity.UPPER, toxicity.LOWER)))
+    counts = {}
+    for word in words:
+        for feature in [word + "$", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]:
+            counts[feature] = counts.get(feature, 0) + 1
+    total = sum(np.log(1 + n) * model.weights[model.features[f]] for f, n in counts.items() if f in model.features)
+    return sum(1 / (1 + np.exp(t - total)) for t in model.thresholds)
+
+
+def test_severity_matches_a_plain_loop(spark, tables):
+    docs, labels = tables
+    model = toxicity.trained(docs, labels, "toxic", 500, 100, 3)
+    rows = docs.select("doc_id", "text", toxicity.severity_of(docs, model).alias("s")).collect()
+    assert all(r["s"] == pytest.approx(plain_severity(model, r["text"])) for r in rows)
+    assert max(r["s"] for r in rows) > 1
+
+
+def test_grades_are_given_by_the_other_half():
+    draw = np.random.default_rng(5)
+    labels = np.repeat([0, 1], 200)
+    strength = np.where(labels == 1, draw.uniform(0.5, 4, 400), 0)
+    x = np.stack([strength + draw.normal(size=400) * 0.1, draw.normal(size=400)], axis=1)
+    halves = draw.integers(0, 2, 400)
+    grades = toxicity.cross_graded(x, labels, halves, np.ones(400), 3)
+    assert (grades[labels == 0] == 0).all() and set(grades[labels == 1].tolist()) == {1, 2, 3}
+    means = [strength[grades == g].mean() for g in (1, 2, 3)]
+    assert means[0] < means[1] < means[2]
+    # The labels of a half have no part in the order of its own rows.
+    assert np.array_equal(toxicity.cross_graded(x, labels, np.zeros(400, int), np.ones(400), 3) > 0, labels == 1)
+
+
+def test_many_texts_under_one_labelled_id(spark):
+    rows = [(i, f"plain text number {i} about nothing much", "s") for i in range(40)]
+    rows += [(100 + i, f"a vile text of words {i}", "s") for i in range(40)]
+    rows += [(7, f"other text {i} of the same id", "s") for i in range(3000)] + [(7, "the same text", "s")] * 500
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in {r[0] for r in rows}], "doc_id long, toxic int")
+    model = toxicity.trained(documents(spark, rows), labels, "toxic", 100, 50, 3)
+    asked = documents(spark, [(1, "a vile text", "s"), (2, "plain text about nothing", "s")])
+    first, second = (r["s"] for r in asked.select(toxicity.severity_of(asked, model).alias("s")).collect())
+    assert first > toxicity.REJECTED > second
