@@ -2,7 +2,10 @@
 
 Markup is stripped first: scripts, styles, comments, navigation, headers,
 footers, sidebars, forms and elements whose class or id marks them as adverts,
-menus, notices or reader comments go with all they hold. What remains is a list
+menus, notices or reader comments go with all they hold. Names that articles use as well, such
+as search, legal or social, only count alone or with a word for a page's furniture (share-bar),
+and within an article only for an element whose lines the block measure finds silent too:
+no block of them rises above ``surge``. What remains is a list
 of lines, one per block element, each with its length, the share of it that is
 link text, and the element that holds it.
 
@@ -28,6 +31,7 @@ of any name do no harm.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -54,12 +58,14 @@ TOKEN = re.compile(
 NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select option annotation annotation-xml".split())
 BOILERPLATE = frozenset("nav footer aside form button dialog menu head fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q"
-    " rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    " rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle"
+    " msub msubsup msup mtext munder munderover semantics object".split()
 )
 ARTICLE = frozenset(("article", "main"))
 BOXES = frozenset(("div", "section", "td", "center", "blockquote"))
@@ -74,10 +80,17 @@ ENDED_BY = {
 }
 MARKED = re.compile(
     r"^(?:(?:site|page|main|global|top)[_-]?)?header$|^adsbygoogle$"
-    r"|(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation"
-    r"|breadcrumbs?|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup"
-    r"|share|sharing|social|related|recommended|widget|comments?|commentlist|respond|replies|disqus"
-    r"|footer|masthead|topbar|toolbar|skip|pagination|pager|login|search|legal|copyright)(?=$|[_\d-])",
+    r"|(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|banner|sidebar|menu|nav|navbar|navigation"
+    r"|breadcrumbs?|cookies?|consent|popup|modal|overlay|newsletter|subscribe|signup"
+    r"|related|recommended|comments?|commentlist|respond|replies|disqus"
+    r"|footer|masthead|topbar|toolbar|pagination|pager|login)(?=$|[_\d-])",
+    re.IGNORECASE,
+)
+# Names that articles use as well.
+AMBIGUOUS = re.compile(
+    r"^(?:(?:site|page|top|main|post|entry)[_-])?(?:promo\w*|side|notices?|alert|share|sharing|social|widget|skip"
+    r"|search|legal|copyright)(?:[_-]?(?:bars?|box(?:es)?|buttons?|links?|lists?|icons?|widgets?|wrap(?:per)?"
+    r"|container|tools?|menu|panel|block|area|form|banner|message|info|content|to|\d+))*$",
     re.IGNORECASE,
 )
 # Names that say what else is on the page, such as has-sidebar.
@@ -145,25 +158,33 @@ class Builder:
         self.linked = 0
 
 
-def marks_boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
+def marks_boilerplate(name: str, attributes: str, inside_article: bool) -> bool | None:
+    """Whether an element is boilerplate by its tag and names; None leaves it to its lines."""
     if name in BOILERPLATE or (name == "header" and not inside_article):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
+    found: bool | None = False
     for key, value in NAMED.findall(attributes):
         for token in value.strip("\"'").lower().split():
             if key.lower() == "role":
                 if token in ROLES:
                     return True
-            elif not token.startswith(BESIDE) and MARKED.search(token):
-                return True
-    return False
+            elif not token.startswith(BESIDE):
+                if MARKED.search(token):
+                    return True
+                if AMBIGUOUS.match(token):
+                    if not inside_article:
+                        return True
+                    found = None
+    return found
 
 
-def lines_of(html: str) -> tuple[list[Line], Elements]:
-    """The lines outside boilerplate, and all elements."""
+def lines_of(html: str) -> tuple[list[Line], Elements, list[int]]:
+    """The lines outside boilerplate, all elements, and those that their lines may show to be some."""
     built, elements = Builder(), Elements()
     opened: Counter[str] = Counter()
+    doubtful: list[int] = []
     stack: list[tuple[str, int, bool]] = []  # name, number, whether it starts boilerplate
     skipped = links = inside = 0
     heading = False
@@ -225,9 +246,13 @@ def lines_of(html: str) -> tuple[list[Line], Elements]:
         if name in VOID or token["attributes"].rstrip().endswith("/"):
             continue
         boilerplate = marks_boilerplate(name, token["attributes"], inside > 0)
-        if boilerplate and not skipped and name not in INLINE:
+        if boilerplate is not False and not skipped and name not in INLINE:
             built.end(current(), heading)
-        stack.append((name, elements.open(name, current()), boilerplate))
+        number = elements.open(name, current())
+        if boilerplate is None:
+            doubtful.append(number)
+        boilerplate = bool(boilerplate)
+        stack.append((name, number, boilerplate))
         opened[name] += 1
         skipped += boilerplate
         links += name == "a"
@@ -236,7 +261,22 @@ def lines_of(html: str) -> tuple[list[Line], Elements]:
     leave(0)
     built.end(0, False)
     elements.close(0)
-    return built.lines, elements
+    return built.lines, elements, doubtful
+
+
+def without_silent(
+    lines: list[Line], elements: Elements, doubtful: Sequence[int], window: int, surge: int
+) -> list[Line]:
+    """The lines without those of doubtful elements in which no block rises above ``surge``."""
+    order = sorted(range(len(lines)), key=lambda i: lines[i].element)
+    numbers = [lines[i].element for i in order]
+    silent: set[int] = set()
+    for number in doubtful:
+        low, high = bisect_left(numbers, number), bisect_right(numbers, elements.last[number])
+        inside = sorted(order[low:high])
+        if not stretches([lines[i].weight for i in inside], window, surge, 0):
+            silent.update(inside)
+    return [x for i, x in enumerate(lines) if i not in silent]
 
 
 def stretches(weights: Sequence[int], window: int, surge: int, dive: int) -> list[tuple[int, int]]:
@@ -283,7 +323,9 @@ def main_text(
 ) -> str:
     if not html:
         return ""
-    lines, elements = lines_of(html)
+    lines, elements, doubtful = lines_of(html)
+    if doubtful:
+        lines = without_silent(lines, elements, doubtful, window, surge)
     weights = [line.weight for line in lines]
     found = stretches(weights, window, surge, dive)
     if found:

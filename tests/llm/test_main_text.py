@@ -1,7 +1,8 @@
 import html as escapes
+import random
 import re
 
-from cohortry.llm.main_text import extracted, main_text
+from cohortry.llm.main_text import extracted, main_text, stretches
 from tests.conftest import SMALL
 
 LONG = "<p>" + "A sentence of the article with a number of words. " * 3 + "</p>"
@@ -56,6 +57,42 @@ def test_names_that_only_mention_boilerplate():
     assert main_text(page) == f"T\n{LONG_TEXT}\n{LONG_TEXT}"
 
 
+def test_names_that_articles_use_too():
+    """Inside an article such names need lines that are silent as well."""
+    price = '<div class="share-price"><p>Shares rose by 3 %.</p></div>'
+    legal = f'<section class="legal">{LONG}</section>'
+    page = f"<article><h1>T</h1>{LONG}{price}{legal}<p>x <math><mi>E</mi><mo>=</mo><mi>m</mi></math></p></article>"
+    assert main_text(page) == f"T\n{LONG_TEXT}\nShares rose by 3 %.\n{LONG_TEXT}\nx E=m"
+    links = "".join(f'<a href="/{i}">Share on network number {i}</a> ' for i in range(9))
+    page = f'<article><h1>T</h1>{LONG}<div class="social">{links}</div><div class="share-buttons">Share</div></article>'
+    assert main_text(page) == f"T\n{LONG_TEXT}"
+    page = f'<article><h1>T</h1>{LONG}</article><div class="legal">{LONG}</div><div class="search-box">Find</div>'
+    assert main_text(page) == f"T\n{LONG_TEXT}"
+    page = f'<article><h1>T</h1>{LONG}<div class="comments">{LONG}{LONG}</div></article>'
+    assert main_text(page) == f"T\n{LONG_TEXT}"
+
+
+def brute_stretches(weights, window, surge, dive):
+    """Where block sums rise above ``surge``, up to where they fall to ``dive``."""
+    blocks = [sum(weights[i : i + window]) for i in range(len(weights))]
+    found, i = [], 0
+    while i < len(blocks):
+        if blocks[i] > surge:
+            end = next((j for j in range(i + 1, len(blocks)) if blocks[j] <= dive), len(blocks))
+            found.append((i, end))
+            i = end
+        i += 1
+    return found
+
+
+def test_stretches_match_brute_force():
+    draw = random.Random(6)
+    for _ in range(500):
+        weights = [draw.choice([0, 0, 0, 5, 40, 200]) for _ in range(draw.randint(0, 30))]
+        window, surge = draw.randint(1, 4), draw.choice([10, 80, 150])
+        assert stretches(weights, window, surge, 0) == brute_stretches(weights, window, surge, 0)
+
+
 def test_link_lists_carry_no_weight():
     links = "".join(f"<li><a href='/{i}'>A long link text that is no article {i}</a></li>" for i in range(30))
     assert main_text(f"<div><ul>{links}</ul></div><div>{LONG}{LONG}</div>") == f"{LONG_TEXT}\n{LONG_TEXT}"
