@@ -7,14 +7,18 @@ Base spans, leftmost and non-overlapping per kind, in code points:
 * card ``[0-9]([\\x20-]?[0-9])+`` with 16 to 19 digits that pass the Luhn check
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]`` with 8 to 15 digits
 
-Base spans are the seeds. A pattern is the pair of words in front of a span; an
-instance is the value of the span. Words that look like identifiers (digits or
-an at sign, outside base spans) are candidate instances. The graph of patterns
-and instances is scored per kind in rounds: a pattern is as reliable as the mean
-score of the distinct instances it introduces, and counts only with enough
-support; a candidate is as likely as at least one of its reliable patterns being
-right. Candidates above the threshold after the last round add spans of their
-kind; base spans stay.
+Base spans are the seeds. The value of a span is an instance, and the text in front of it
+makes up to three patterns: the two words in front on the line, without their
+punctuation and with digits made equal; the word in front, if it is a label (it ends with
+``:``, ``=`` or ``#``), which may begin the line; and that label with the shape of the value.
+Words that look like identifiers (digits or an at sign, outside base spans) and groups of
+digits with the separators of the base patterns are candidate instances.
+
+The graph of patterns and instances is scored per kind in rounds: a pattern is as reliable as
+the lower confidence bound of the share of its distinct instances that are of the kind, which
+takes several instances, nearly all of them right; a candidate is as likely as at least one
+of its reliable patterns being right. Rounds end when no candidate is accepted that
+was not before. Accepted candidates add spans of their kind; base spans stay.
 
 A null or empty text has no spans. Rows that repeat doc_id and text repeat their
 result; different texts under one doc_id are told apart. Empty tables give empty
@@ -33,12 +37,14 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import apart, cut, small_enough, text_key
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 # A pattern counts if so many distinct scored instances follow it.
 SUPPORT = 3.0
 RELIABLE = 0.6
 ACCEPTED = 0.6
+# Standard errors below the observed share that a pattern's reliability is put.
+CAUTION = 1.28
 SHORTEST_CANDIDATE = 6
+FEWEST_GROUPED_DIGITS = 7
 
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -51,9 +57,17 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 MARK = re.compile(r"[0-9]+|@")
 EDGES = "\"'`()[]{}<>.,;:!?|*#$%&="
+# What may stand between a label and its value.
+EDGES_BEFORE = " \t\"'`([{<|*"
 WORD = re.compile(r"\S+")
 
-SPAN = "array<struct<kind:string,start:long,end:long,context:string,value:string>>"
+# Digits in groups, with at most two separators between them.
+GROUPED = re.compile(r"[+(]{0,2}[0-9]++(?:[\x20().-]{1,2}[0-9]++)+")
+LABEL = re.compile(r"[^\W\d_].*[:=#]$")
+DIGITS = re.compile(r"[0-9]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+SPAN = "array<struct<kind:string,start:long,end:long,contexts:array<string>,value:string>>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -108,18 +122,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def context_of(text: str, start: int) -> str | None:
-    """The two words in front, in lower case, from a bounded stretch of text."""
+def contexts_of(text: str, start: int, end: int) -> list[str]:
+    """The patterns in front of a value, from a bounded stretch of text."""
     line = text[max(0, start - 80) : start]
-    line = line[line.rfind("\n") + 1 :]
-    words = line.lower().split()
-    return " ".join(words[-2:]) if len(words) >= 2 else None
+    words = line[line.rfind("\n") + 1 :].lower().rstrip(EDGES_BEFORE).split()
+    found = []
+    plain = [DIGITS.sub("9", w.strip(EDGES)) for w in words[-2:]]
+    if len(plain) == 2 and all(plain):
+        found.append(" ".join(plain))
+    if words and LABEL.match(words[-1]):
+        label = DIGITS.sub("9", words[-1])
+        # Marked, so that no two words look like a label.
+        found += [f"|{label}", f"|{label}|{shape_of(text[start:end])}"]
+    return found
+
+
+def shape_of(value: str) -> str:
+    """The value with runs of digits and of letters made equal."""
+    return LETTERS.sub("a", DIGITS.sub("9", value))
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with digits or an at sign that touch no base span."""
+    """Groups of digits, and words with digits or an at sign, that touch no base span."""
     spans = sorted((s, e) for _, s, e in taken)
-    next_span, done = 0, 0
+    found = []
+    for group in GROUPED.finditer(text):
+        digits = sum(c.isdigit() for c in group[0])
+        if digits >= FEWEST_GROUPED_DIGITS:
+            found.append((group.start(), group.end()))
+    done = 0
     for mark in MARK.finditer(text):
         if mark.start() < done:
             continue
@@ -129,13 +160,18 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[i
         word = WORD.match(text, start)
         done = word.end()
         value = word[0].strip(EDGES)
-        if len(value) < SHORTEST_CANDIDATE:
+        if len(value) >= SHORTEST_CANDIDATE:
+            start = text.index(value, start)
+            found.append((start, start + len(value)))
+    # Of those that overlap, the one that begins first and reaches farthest.
+    next_span, done = 0, 0
+    for start, end in sorted(found, key=lambda f: (f[0], -f[1])):
+        if start < done:
             continue
-        start = text.index(value, start)
-        end = start + len(value)
         while next_span < len(spans) and spans[next_span][1] <= start:
             next_span += 1
         if next_span == len(spans) or spans[next_span][0] >= end:
+            done = end
             yield start, end
 
 
@@ -146,7 +182,7 @@ def mentions(text: str | None) -> list[dict]:
     base = base_spans(text)
     every = base + [(None, s, e) for s, e in candidates(text, base)]
     return [
-        {"kind": k, "start": s, "end": e, "context": context_of(text, s), "value": text[s:e].lower()}
+        {"kind": k, "start": s, "end": e, "contexts": contexts_of(text, s, e), "value": text[s:e].lower()}
         for k, s, e in every
     ]
 
@@ -167,8 +203,7 @@ def read_mentions(docs: DataFrame) -> DataFrame:
             m["kind"].alias("kind"),
             m["start"].alias("start"),
             m["end"].alias("end"),
-            F.xxhash64(m["context"]).alias("pattern"),
-            m["context"].isNotNull().alias("placed"),
+            F.transform(m["contexts"], lambda c: F.xxhash64(c)).alias("patterns"),
             F.xxhash64(m["value"]).alias("instance"),
         )
 
@@ -178,21 +213,20 @@ def read_mentions(docs: DataFrame) -> DataFrame:
 
 
 def scored_instances(
-    mentioned: DataFrame, rounds: int, support: float, reliable: float
+    mentioned: DataFrame, support: float, reliable: float, accepted: float, caution: float
 ) -> DataFrame:
     """instance, kind and score of the candidates that patterns introduce."""
     edges = cut(
         mentioned.select(F.explode("_found").alias("m"))
-        .where("m.placed")
-        .select("m.pattern", "m.instance", "m.kind")
+        .select(F.explode("m.patterns").alias("pattern"), "m.instance", "m.kind")
         .groupBy("pattern", "instance")
         .agg(F.max("kind").alias("seed"))
     )
     seeds = edges.where("seed is not null").groupBy("instance").agg(F.max("seed").alias("seed"))
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    known = cut(seeds.select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")))
-    seeds = known
-    for _ in range(rounds):
+    seeds = cut(seeds.select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")))
+    known, before = seeds, 0
+    while True:
         patterns = (
             edges.select("pattern", "instance")
             .join(known, "instance")
@@ -200,7 +234,7 @@ def scored_instances(
             .agg(F.sum("score").alias("total"))
             .where(F.col("total") >= support)
             .join(sizes, "pattern")
-            .withColumn("confidence", F.col("total") / F.col("size"))
+            .withColumn("confidence", lower_bound(F.col("total"), F.col("size"), caution))
             .where(F.col("confidence") >= reliable)
         )
         found = (
@@ -210,19 +244,31 @@ def scored_instances(
             .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
             .join(seeds.select("instance"), "instance", "left_anti")
         )
-        known = cut(seeds.unionByName(found))
-    return known.join(seeds.select("instance"), "instance", "left_anti")
+        found = cut(found)
+        # Scores only rise, as instances and reliable patterns are added; so this ends.
+        sure = found.where(F.col("score") >= accepted).count()
+        if sure <= before:
+            return found
+        known, before = seeds.unionByName(found), sure
+
+
+def lower_bound(right: Column, size: Column, caution: float) -> Column:
+    """The lower end of Wilson's interval for the share of ``right`` in ``size``."""
+    share, square = right / size, caution * caution
+    middle = share + square / (2 * size)
+    spread = caution * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / size + square / (4 * size * size))
+    return (middle - spread) / (1 + square / size)
 
 
 def discovered(
     mentioned: DataFrame,
-    rounds: int = ROUNDS,
     support: float = SUPPORT,
     reliable: float = RELIABLE,
     accepted: float = ACCEPTED,
+    caution: float = CAUTION,
 ) -> DataFrame:
     """doc_id, text key and the spans that patterns add, per document with any."""
-    scores = scored_instances(mentioned, rounds, support, reliable)
+    scores = scored_instances(mentioned, support, reliable, accepted, caution)
     best = (
         scores.where(F.col("score") >= accepted)
         .groupBy("instance")

@@ -79,6 +79,91 @@ def test_patterns_find_unseen_identifiers(spark):
     assert found[20]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_labels_at_the_start_of_a_line_find_grouped_numbers(spark):
+    """Seeds behind one label, and identifiers of forms that no base pattern takes."""
+    rows = [(i, f"some text {i}\nPhone: +49 30 {1000000 + 7919 * i}\nmore", "s") for i in range(9)]
+    unseen = ["030 123 4567", "(030) 987-6543", "030.555.1234", "0305551299"]
+    rows += [(20 + i, f"other text\nphone: {value}", "s") for i, value in enumerate(unseen[:1])]
+    rows += [(40 + i, f"a list of {100 + i} 200 30{i}0 4000 things", "s") for i in range(9)]
+    found = {r["doc_id"]: r["spans"] for r in detected(documents(spark, rows)).collect()}
+    for i, value in enumerate(unseen[:1]):
+        at = rows[9 + i][1].index(value)
+        assert found[20 + i] == f"phone:{at}:{at + len(value)}"
+    assert all(found[i] == "" for i in range(40, 49)) and all(found[i].count("phone") == 1 for i in range(9))
+
+
+def test_recall_and_precision_on_unseen_forms(spark):
+    """Many seeds of two kinds, a few identifiers of unseen forms, and numbers that are none."""
+    draw = random.Random(11)
+    rows, wanted = [], {}
+    for i in range(120):
+        kind = ("card", "phone")[i % 2]
+        seed = card(10**14 + draw.randrange(10**12)) if kind == "card" else f"+1 555 {draw.randrange(10**6, 10**7)}"
+        value = seed
+        if i % 12 >= 10:
+            value = f"{draw.randrange(10**4)} {draw.randrange(10**6, 10**7)}" if kind == "phone" else f"9{draw.randrange(10**10, 10**11)}"
+        text = f"{draw.choice(['alpha', 'beta'])} {i} {kind} no: {value} end"
+        rows.append((i, text, "s"))
+        if value != seed:
+            at = text.index(value)
+            wanted[i] = f"{kind}:{at}:{at + len(value)}"
+    rows += [(1000 + i, f"order no. {draw.randrange(10**9, 10**10)} shipped", "s") for i in range(60)]
+    found = {r["doc_id"]: r["spans"] for r in detected(documents(spark, rows)).where("n_card + n_phone = 0").collect()}
+    hits = sum(found.get(i) == spans for i, spans in wanted.items())
+    given = sum(spans != "" for spans in found.values())
+    assert len(wanted) == 20 and hits >= 0.9 * len(wanted) and hits >= 0.95 * given
+
+
+def brute_scores(texts, support=3.0, reliable=0.6, accepted=0.6, z=1.28):
+    """Scores of candidates by the definition, pattern by pattern."""
+    seeds, edges = {}, set()
+    for text in texts:
+        for m in mentions(text):
+            for pattern in m["contexts"]:
+                edges.add((pattern, m["value"]))
+                if m["kind"]:
+                    seeds[m["value"]] = max(seeds.get(m["value"], ""), m["kind"])
+    known, before = {(v, k): 1.0 for v, k in seeds.items()}, 0
+    while True:
+        reliable_patterns = {}
+        for pattern in {p for p, _ in edges}:
+            values = {v for p, v in edges if p == pattern}
+            for kind in personal_data.KINDS:
+                total = sum(known.get((v, kind), 0.0) for v in values)
+                share, n = total / len(values), len(values)
+                middle, spread = share + z * z / (2 * n), z * (max(share * (1 - share), 0) / n + z * z / (4 * n * n)) ** 0.5
+                low = (middle - spread) / (1 + z * z / n)
+                if total >= support and low >= reliable:
+                    reliable_patterns[pattern, kind] = low
+        found = {}
+        for (pattern, kind), low in reliable_patterns.items():
+            for p, v in edges:
+                if p == pattern and v not in seeds:
+                    found[v, kind] = 1 - (1 - found.get((v, kind), 0.0)) * (1 - min(low, 0.999))
+        sure = sum(score >= accepted for score in found.values())
+        if sure <= before:
+            return found
+        known, before = {**{(v, k): 1.0 for v, k in seeds.items()}, **found}, sure
+
+
+def test_pattern_scores_match_brute_force(spark):
+    draw = random.Random(3)
+    texts = []
+    for _ in range(150):
+        lead = draw.choice(["call me", "card:", "phone:", "Tel:", "my number", "at"])
+        seed = card(10**14 + draw.randrange(50)) if "c" in lead else f"+1 555 {1000000 + draw.randrange(40)}"
+        value = seed if draw.random() < 0.9 else f"AB{draw.randrange(30)}77x9"
+        texts.append(f"{draw.choice(['x', 'so please'])} {lead} {value} ok")
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    scored = personal_data.scored_instances(personal_data.read_mentions(docs), 3.0, 0.6, 0.6, 1.28)
+    values = spark.createDataFrame([(v,) for v in {m["value"] for t in texts for m in mentions(t)}], "value string")
+    named = scored.join(values.selectExpr("value", "xxhash64(value) AS instance"), "instance")
+    found = {(r["value"], r["kind"]): r["score"] for r in named.collect()}
+    wanted = brute_scores(texts)
+    assert found.keys() == wanted.keys() and len(wanted) > 0
+    assert all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
 def test_a_pattern_that_also_introduces_other_things_finds_nothing(spark):
     rows = [(i, f"some number is {card(10**14 + i)} here", "s") for i in range(4)]
     rows += [(10 + i, f"some number is AB{i}7C99x{i} here", "s") for i in range(9)]
