@@ -6,11 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortry.session import configure
-
-CHECKPOINT_SETTING = "spark.checkpoint.dir"
+from cohortry.sources.dimensions import byte_size
+from cohortry.sources.sinks import shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -42,16 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Where the setting is absent, as in tests, it lies below the warehouse, which
-    the executors and the driver share as well.
-    """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
@@ -68,27 +57,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bytes_of(value: Column, kind: T.DataType) -> Column:
-    """About how many bytes a value takes in memory."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(16)
-    if isinstance(kind, T.ArrayType):
-        each = F.aggregate(value, F.lit(16).cast("long"), lambda sum_, x: sum_ + bytes_of(x, kind.elementType))
-        return F.coalesce(each, F.lit(16).cast("long"))
-    if isinstance(kind, T.StructType):
-        return sum((bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
-    return F.lit(8)
-
-
 def small_enough(df: DataFrame, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its values take at most ``most_bytes``.
 
     Beyond that it comes back as it is, and Spark joins by shuffling. ``df``
     should be checkpointed, since it is read here.
     """
-    each = sum((bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
-    taken = df.agg(F.sum(each.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if taken <= most_bytes else df
+    return F.broadcast(df) if byte_size(df) <= most_bytes else df
 
 
 def apart(df: DataFrame, other: DataFrame) -> tuple[DataFrame, dict[str, Column]]:

@@ -48,6 +48,7 @@ GRADES = 3
 # A row of two toxic words in a long text is near this expected grade.
 REJECTED = 0.35
 ROWS_PER_CLASS = 3_000
+SAMPLE_PARTS = 32
 FEATURES = 512
 LEAST_DOCUMENTS = 5
 # What chance alone reaches about once among a million features.
@@ -213,15 +214,16 @@ def trained(
         return None
     hashed = F.xxhash64("doc_id")
     drawn = [known.where(F.col("_label") == c).orderBy(hashed, "doc_id").limit(rows_per_class) for c in (0, 1)]
-    held = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
-        .withColumn("_text", text_key(F.col("text")))
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("_text"))
+    # One doc_id may have many texts, so the rows are bounded as well as the labels.
+    keys = texts.select("doc_id", "_text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").distinct()
+    keys = [keys.where(F.col("_label") == c).orderBy(hashed, "doc_id", "_text").limit(rows_per_class) for c in (0, 1)]
+    sample = cut(
+        texts.join(F.broadcast(keys[0].union(keys[1])), ["doc_id", "_text"])
         .dropDuplicates(["doc_id", "_text"])
+        .select("doc_id", "text", "_label")
+        .repartition(SAMPLE_PARTS, "doc_id")
     )
-    # One doc_id may have many texts, so the rows are bounded as well as the labels.
-    each = [held.where(F.col("_label") == c).orderBy(hashed, "doc_id", "_text").limit(rows_per_class) for c in (0, 1)]
-    sample = cut(each[0].union(each[1]).drop("_text"))
     sizes = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
     if len(sizes) < 2:
         return None
