@@ -19,6 +19,19 @@ def test_without_the_setting_the_folder_lies_below_the_warehouse():
     assert sinks.shared_folder(session) == "hdfs://x/warehouse/_stages"
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    def session(**settings):
+        return types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, *default: settings.get(key, *default)))
+
+    local = {"spark.sql.warehouse.dir": "file:/tmp/w"}
+    assert sinks.shared_folder(session(**local, **{"spark.master": "local[4]"})) == "file:/tmp/w/_stages"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            sinks.shared_folder(session(**local, **{"spark.master": master}))
+    given = {"spark.checkpoint.dir": "hdfs://x/shared/", "spark.master": "yarn"}
+    assert sinks.shared_folder(session(**given)) == "hdfs://x/shared"
+
+
 def test_overwrite_table_replaces_schema(spark):
     name, path = sinks.new_table_name("t"), sinks.new_location(spark, "t")
     sinks.overwrite_table(spark.range(3), name, path=path)
