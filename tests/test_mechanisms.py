@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from cohortry.catalog import CATALOG, mechanisms
 from cohortry.operators import states
 from cohortry.operators.quantiles import exact_quantiles
+from cohortry.operators.running import RunningTotals
+from cohortry.operators.uplift import with_running_totals
 from cohortry.sources import incremental, sinks
 from cohortry.sources.dimensions import StagedDimensions, byte_size
 from tests.conftest import SMALL
@@ -261,6 +263,64 @@ def test_quantiles_of_nothing(spark):
         exact_quantiles(df, "v", [])
 
 
+# -- running totals ----------------------------------------------------------
+
+
+def random_periods(spark, seed, count=200):
+    draw = random.Random(seed)
+    start = datetime.date(2020, 1, 1)
+    rows_ = {
+        (draw.randrange(12), start.replace(month=1 + draw.randrange(6)), draw.choice(["control", "treatment"])): 0
+        for _ in range(count)
+    }
+    return [(c, p, v, draw.randrange(100), draw.randrange(-5, 50)) for c, p, v in rows_]
+
+
+def frame(spark, rows_):
+    return spark.createDataFrame(rows_, "customer_id long, period date, variant string, a long, b long")
+
+
+def test_state_equals_the_full_recomputation_after_every_batch(spark):
+    entries = random_periods(spark, 1)
+    by_month = [[e for e in entries if e[1].month == m] for m in range(1, 7)]
+    late = [(c, p, v, 7, 1) for c, p, v, _, _ in by_month[1][:4]] + [(99, by_month[2][0][1], "control", 1, 1)]
+    batches = [by_month[0] + by_month[1], by_month[2], by_month[3], late, [], by_month[4] + by_month[5]]
+    state = RunningTotals(spark, sinks.new_location(spark, "running"), ["a", "b"])
+    seen = []
+    for number, batch in enumerate(batches):
+        found = state.advance(frame(spark, batch), number)
+        seen += batch
+        sums = frame(spark, seen).groupBy("customer_id", "period", "variant").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        assert same_rows(found, with_running_totals(sums, ["a", "b"]))
+
+
+def test_a_batch_that_runs_twice_counts_once(spark):
+    entries = random_periods(spark, 2)
+    state = RunningTotals(spark, sinks.new_location(spark, "running"), ["a", "b"])
+    state.advance(frame(spark, entries[:40]), 0)
+    once = rows(state.advance(frame(spark, entries[40:]), 1), "customer_id", "period", "variant")
+    again = rows(state.advance(frame(spark, entries[40:]), 1), "customer_id", "period", "variant")
+    assert once == again
+
+
+def test_a_new_period_leaves_earlier_ones_alone(spark):
+    entries = random_periods(spark, 3)
+    path = sinks.new_location(spark, "running")
+    state = RunningTotals(spark, path, ["a", "b"])
+    state.advance(frame(spark, [e for e in entries if e[1].month < 6]), 0)
+    before = files(f"{path}/running", spark)
+    state.advance(frame(spark, [e for e in entries if e[1].month == 6]), 1)
+    after = files(f"{path}/running", spark)
+    assert all(after[folder] == names for folder, names in before.items()) and len(after) == len(before) + 1
+
+
+def test_a_state_without_batches(spark):
+    state = RunningTotals(spark, sinks.new_location(spark, "running"), ["a", "b"])
+    with pytest.raises(ValueError, match="no batch"):
+        state.running()
+    assert state.advance(frame(spark, []), 0).count() == 0
+
+
 # -- named windows -----------------------------------------------------------
 
 
