@@ -78,7 +78,11 @@ def fingerprints(words: Column, length: int, span: int, gram: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, span: int, gram: int) -> DataFrame:
-    """length, window, fingerprint and the items that hold the window."""
+    """length, window, fingerprint, and the set of items that hold the window.
+
+    A set is named by the smallest window it holds, and has its items under ``items`` there
+    only, so items that share many windows are not listed with each of them.
+    """
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         words_of(F.col("text")).alias("words"),
@@ -97,7 +101,16 @@ def benchmark_windows(benchmark: DataFrame, span: int, gram: int) -> DataFrame:
         "mark",
         F.array_join(F.slice("words", F.col("start") + 1, F.col("length")), " ").alias("window"),
     )
-    return windows.groupBy("length", "window", "mark").agg(F.collect_set("item").alias("items"))
+    held = windows.groupBy("length", "window", "mark").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sets = (
+        held.groupBy("items")
+        .agg(F.min(F.struct("window", "length")).alias("set"), F.collect_list(F.struct("length", "window", "mark")).alias("all"))
+        .select("items", "set", F.explode("all").alias("each"))
+    )
+    named = (F.col("each.window") == F.col("set.window")) & (F.col("each.length") == F.col("set.length"))
+    return sets.select(
+        "each.length", "each.window", "each.mark", F.col("set.window").alias("set"), F.when(named, F.col("items")).alias("items")
+    )
 
 
 def judged(
@@ -176,10 +189,9 @@ def hit_documents(
         read.dropDuplicates(["doc_id", "_text"])
         .select("doc_id", "_text", F.explode(bound(words_of(F.col("text")), starts)).alias("_span"))
         .select("doc_id", "_text", "_span.start", "_span.window", "_span.length")
-        .join(
-            small_enough(windows.select("window", "items")), "window"
-        )
+        .join(small_enough(windows.select("window", "set")), "window")
     )
+    spans = cut(spans)
     before = (
         Window.partitionBy("doc_id", "_text")
         .orderBy("start", "length")
@@ -189,14 +201,19 @@ def hit_documents(
     covered = F.greatest(
         F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0)))
     )
-    return (
-        spans.withColumn("_covered", covered)
+    counts = spans.withColumn("_covered", covered).groupBy("doc_id", "_text").agg(F.sum("_covered").alias("n_hit"))
+    sets = small_enough(windows.where("items is not null").select("set", "items"))
+    items = (
+        spans.select("doc_id", "_text", "set")
+        .distinct()
+        .join(sets, "set")
+        .select("doc_id", "_text", F.explode("items").alias("item"))
         .groupBy("doc_id", "_text")
-        .agg(
-            F.sum("_covered").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
+    met, its = apart(items, counts)
+    same = counts["doc_id"].eqNullSafe(its["doc_id"]) & (counts["_text"] == its["_text"])
+    return counts.join(met, same).select("doc_id", "_text", "n_hit", its["items"].alias("items"))
 
 
 def _candidate(docs: DataFrame) -> Column:
