@@ -61,8 +61,8 @@ EDGES = "\"'`()[]{}<>.,;:!?|*#$%&="
 EDGES_BEFORE = " \t\"'`([{<|*"
 WORD = re.compile(r"\S+")
 
-# Digits in groups, with at most two separators between them.
-GROUPED = re.compile(r"[+(]{0,2}[0-9]++(?:[\x20().-]{1,2}[0-9]++)+")
+# Digits in groups, with at most two separators between them; begun at the start of a run only.
+GROUPED = re.compile(r"(?<![0-9])[+(]{0,2}[0-9]++(?:[\x20().-]{1,2}[0-9]++)+")
 LABEL = re.compile(r"[^\W\d_].*[:=#]$")
 DIGITS = re.compile(r"[0-9]+")
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -193,6 +194,13 @@ def test_awkward_rows_and_long_runs(spark):
     assert mentions("1" * 200_000 + "a@" * 50_000) is not None
 
 
+def test_long_runs_are_read_once():
+    for text in ("1" * 200_000, "1 " * 100_000, "+(" * 100_000, "1 -" * 70_000, "(1" * 100_000):
+        begun = time.perf_counter()
+        mentions(text)
+        assert time.perf_counter() - begun < 5, text[:4]
+
+
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     docs = awkward(spark)
     sent = sorted(masked(docs).collect(), key=str)
