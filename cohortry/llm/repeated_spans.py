@@ -308,11 +308,14 @@ def check_hashes(block: grams.Block, i: int, span: int) -> np.ndarray:
 def verified_paths(docs: DataFrame, found: DataFrame, span: int) -> DataFrame:
     """Per document its paths: start, and the check hashes read at the source."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # Written on its own, so that Spark can split the join of a source with many requests.
-    sizes = cut(found.groupBy("source").agg(F.ceil(F.count("*") / REQUESTS_TOGETHER).alias("_parts")))
+    # Only sources with many requests need parts. They are few, so the requests are dealt out
+    # before any shuffle by source; where they are not few, Spark splits the join of a hot one.
+    parts = found.groupBy("source").agg(F.ceil(F.count("*") / REQUESTS_TOGETHER).alias("_parts"))
+    many = small_enough(cut(parts.where("_parts > 1")))
+    part = F.pmod(F.xxhash64("doc_id", "start"), F.coalesce("_parts", F.lit(1))).alias("_part")
     asked = (
-        found.join(sizes, "source")
-        .groupBy("source", F.pmod(F.xxhash64("doc_id", "start"), F.col("_parts")).alias("_part"))
+        found.join(many, "source", "left")
+        .groupBy("source", part)
         .agg(F.collect_list(F.struct("doc_id", "start", "edges", "source_start")).alias("asked"))
     )
 

@@ -127,6 +127,17 @@ def test_only_rows_that_documents_share_are_marked(spark):
     assert set(bits) == {1, 2} and all(0 < sum(b.bit_count() for b in held) < 12 for held in bits.values())
 
 
+@pytest.mark.parametrize("by_shuffle", [False, True])
+def test_a_source_with_many_requests_is_read_in_parts(spark, monkeypatch, by_shuffle):
+    monkeypatch.setattr(repeated_spans, "REQUESTS_TOGETHER", 3)
+    if by_shuffle:
+        monkeypatch.setattr(repeated_spans, "small_enough", lambda df: df)
+    passage, other = " ".join(WORDS[:40]), " ".join(WORDS[50:70])
+    rows = [(0, passage, "s")] + [(n, f"a{n} {passage} b{n}", "s") for n in range(1, 30)]
+    rows += [(100, other, "s"), (101, f"x {other}", "s")]
+    assert judged(documents(spark, rows)) == brute([(i, t) for i, t, _ in rows])
+
+
 def test_sliding_minimum():
     draw = np.random.default_rng(1)
     values = draw.integers(0, 50, 200).astype(np.uint64)
