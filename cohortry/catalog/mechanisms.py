@@ -1,17 +1,20 @@
-"""Staged dimensions, incremental writes, mergeable states, named windows."""
+"""Staged dimensions, bucketed stages, incremental writes, mergeable states, named windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.catalog import offers
+from cohortry.catalog import experiment, offers, uplift
 from cohortry.catalog._base import query
 from cohortry.operators import engagement as eng
+from cohortry.operators import experiment as exp
 from cohortry.operators import states
+from cohortry.operators import uplift as up
 from cohortry.sources import incremental, sinks
+from cohortry.sources.buckets import BucketedStages
 from cohortry.sources.dimensions import StagedDimensions
-from cohortry.sources.standins import AS_OF, Standins, with_relations
+from cohortry.sources.standins import AS_OF, ROLLOUT, Standins, with_relations
 
 _PRODUCTS_SQL = "LEFT JOIN (SELECT DISTINCT id, product FROM journeys) j ON a.journey_id = j.id"
 
@@ -52,6 +55,35 @@ def snk09_shared_dimension(t):
     return shared_dimension(t, StagedDimensions())
 
 
+# -- bucketed stages ---------------------------------------------------------
+
+_TOTALS = {up.MAIN: uplift.TOTAL.metric, **uplift.TOTAL.parts}
+
+
+def running_totals(facts, exposure):
+    """Periodic and running totals per customer, each customer on their own."""
+    periods = up.customer_periods(facts, exposure, _TOTALS, ROLLOUT, grain=uplift.GRAIN)
+    return up.with_running_totals(periods, list(_TOTALS))
+
+
+@query(uplift._exposed_sql(_TOTALS) + " SELECT * FROM running")
+def joi01_bucketed_exposure(t):
+    """The exposure join, both folds and the running window on buckets of the customer."""
+    stages = BucketedStages({"facts": t.facts_between(ROLLOUT), "exposure": t.exposure}, up.CUSTOMER)
+    return stages.per_key(running_totals, "facts", "exposure")
+
+
+@query(with_relations("assigned") + " SELECT * FROM assigned")
+def joi01_bucketed_assignment(t):
+    """Row-level bills with the variant and segment of their customer, both in buckets."""
+    stages = BucketedStages({"base": experiment._base(t), "assignments": t.holdout}, exp.CUSTOMER)
+    return stages.per_key(
+        lambda base, assignments: exp.attach_assignment(base, assignments, experiment.EXCLUDED_SEGMENT),
+        "base",
+        "assignments",
+    )
+
+
 # -- incremental writes ------------------------------------------------------
 
 

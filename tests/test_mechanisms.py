@@ -11,11 +11,13 @@ from cohortry.catalog import CATALOG, mechanisms
 from cohortry.operators import states
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.running import RunningTotals
-from cohortry.operators.uplift import with_running_totals
+from cohortry.operators.uplift import customer_periods, with_running_totals
 from cohortry.sources import incremental, sinks
+from cohortry.sources.buckets import BucketedStages
 from cohortry.sources.dimensions import StagedDimensions, byte_size
 from tests.conftest import SMALL
 from tests.support import rows, same_rows
+from tests.test_scale import settings
 
 
 def plan_of(df):
@@ -78,6 +80,80 @@ def test_byte_size_follows_the_values(spark):
     assert byte_size(short.limit(0)) == 0
 
 
+# -- bucketed stages ---------------------------------------------------------
+
+NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+SPLITS = NO_BROADCAST | {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def hot_facts(spark, key):
+    """30,000 facts, every third of one customer, and one exposure per customer."""
+    number = F.col("id")
+    facts = spark.range(0, 30000, 1, 12).select(
+        F.when(number % 3 == 0, F.lit(key)).otherwise(number % 500).alias("customer_id"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (number % 60).cast("int")).alias("date"),
+        (number % 11).alias("amount"),
+    )
+    exposure = (
+        facts.where("customer_id is not null")
+        .select("customer_id", F.lit("a").alias("variant"), F.lit("2020-01-05").cast("date").alias("exposition_date"))
+        .distinct()
+    )
+    return {"facts": facts, "exposure": exposure}
+
+
+def monthly(facts, exposure):
+    periods = customer_periods(facts, exposure, {"m": "amount"}, "2020-01-01", grain="month")
+    return with_running_totals(periods, ["m"])
+
+
+def test_buckets_are_joined_folded_and_windowed_without_an_exchange(spark):
+    frames = hot_facts(spark, -1)
+    with settings(spark, NO_BROADCAST), BucketedStages(frames, "customer_id", 6) as stages:
+        assert not stages.has_hot
+        result = stages.per_key(monthly, "facts", "exposure")
+        plan = plan_of(result)
+        assert "SortMergeJoin" in plan and "Window" in plan and "Exchange" not in plan
+        assert same_rows(result, monthly(*frames.values()))
+
+
+@pytest.mark.parametrize("key", [-1, None])
+def test_a_hot_customer_is_kept_beside_the_buckets(spark, key):
+    frames = hot_facts(spark, key)
+    with BucketedStages(frames, "customer_id", 12, few_rows=1000) as stages:
+        assert [r["_hot"] for r in stages.hot_keys.collect()] == [key]
+        assert stages.hot["facts"].count() == 10000 and stages.usual["facts"].count() == 20000
+        in_files = stages.usual["facts"].groupBy(F.input_file_name()).count()
+        assert in_files.count() <= 12 and in_files.agg(F.max("count")).first()[0] < 5000
+        assert same_rows(stages.per_key(monthly, "facts", "exposure"), monthly(*frames.values()))
+
+
+def test_a_hot_customer_is_still_split_in_a_join_of_rows(spark):
+    frames = hot_facts(spark, -1)
+
+    def joined(facts, exposure):
+        return facts.join(exposure, "customer_id", "left")
+
+    with settings(spark, SPLITS), BucketedStages(frames, "customer_id", 12, few_rows=1000) as stages:
+        result = stages.per_key(joined, "facts", "exposure")
+        plan = plan_of(result)
+        assert "skew=true" in plan and plan.count("SortMergeJoin") >= 2
+        assert same_rows(result, joined(*frames.values()))
+
+
+def test_buckets_of_nothing_are_dropped_with_their_tables(spark):
+    frames = {name: df.limit(0) for name, df in hot_facts(spark, -1).items()}
+    with BucketedStages(frames, "customer_id", 3) as stages:
+        assert stages.per_key(monthly, "facts", "exposure").collect() == []
+        tables = list(stages.tables)
+        assert all(spark.catalog.tableExists(name) for name in tables)
+    assert len(tables) == 2 and not any(spark.catalog.tableExists(name) for name in tables)
+
+
 # -- merging into partitions -------------------------------------------------
 
 
