@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortry.catalog._base import digits, mean_sql, query
 from cohortry.functions import ratio
 from cohortry.operators import experiment as exp
+from cohortry.sources.sinks import materialise
 from cohortry.sources.standins import (
     BILL_END,
     BILL_INDEX,
@@ -333,8 +334,8 @@ FROM slim s LEFT JOIN segment_delta d ON s.segment = d.segment""",
     {**SLIM_DIGITS, "share_defaulted": 8},
 )
 def exp14_contribution_share(t):
-    # Both levels start from the same client rows, whose exchange is reused.
-    clients = exp.client_totals(_accounts(t), [exp.TAG])
+    # Written once: the levels need different columns, so Spark would scan the bills for each.
+    clients = materialise(exp.client_totals(_accounts(t), [exp.TAG]), "clients")
 
     def level(cell):
         metrics = exp.cell_metrics(clients, t.holdout, EXCLUDED_SEGMENT, cell[1:])

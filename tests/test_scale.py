@@ -5,10 +5,12 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
+from cohortry.catalog import CATALOG
+from cohortry.catalog.uplift import TOTAL
 from cohortry.operators import experiment as exp
 from cohortry.operators import offers as off
 from cohortry.operators import uplift as up
-from cohortry.sources.standins import BILL_END, BILL_START
+from cohortry.sources.standins import BILL_END, BILL_START, ROLLOUT
 from tests.support import one, rows, same_rows
 
 N = 120_000
@@ -157,3 +159,14 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     plan = scan(small.cut_list)
     assert "GreaterThan(o_totalprice,450000.0)" in plan
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan
+
+
+def test_both_levels_of_the_share_start_from_the_written_clients(spark, small):
+    plan = executed_plan(CATALOG["exp14_contribution_share"].build(small))
+    assert "clients-" in plan and "lineitem.parquet" not in plan
+
+
+def test_running_totals_are_left_out_where_only_periods_are_read(spark, small):
+    frames = up.metric_uplift(small.exposure, small.facts_between(ROLLOUT), TOTAL, ROLLOUT, grain="month")
+    assert "cum_" not in executed_plan(frames.periodic_uplift)
+    assert "cum_" in executed_plan(frames.cumulative_uplift)
