@@ -293,6 +293,17 @@ def test_rolling_counts_equal_direct_ones(spark):
     assert counted(merged) == direct(entries, 7)
 
 
+def test_bitmaps_of_ids_far_apart_stay_small_and_are_not_copied(spark):
+    entries = [("a", d, c * 100_000) for d in range(3) for c in range(200)]
+    dated = archive(spark, entries)
+    daily = states.daily_bitmaps(dated.unionByName(dated.withColumn("day", F.lit(None))), ["product"], "day", "customer")
+    assert byte_size(daily) <= 64 * daily.count()
+    found = states.rolling_count(daily, ["product"], "day", 2)
+    assert counted(found) == direct(entries, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.rsplit("Window", 1)[-1]
+
+
 def test_sketches_stay_within_their_bound(spark):
     entries = [("a", d, c) for d in range(5) for c in range(d * 500, d * 500 + 2000)]
     daily = states.daily_sketches(archive(spark, entries), ["product"], "day", "customer")
