@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortry.catalog._base import digits, query
 from cohortry.operators import uplift as up
 from cohortry.operators.running import RunningTotals
-from cohortry.sources.sinks import new_location
+from cohortry.sources.sinks import materialise, new_location
 from cohortry.sources.standins import BRANCHES, PRE_START, ROLLOUT, Standins, with_relations
 
 TOTAL = BRANCHES[0]
@@ -135,7 +135,7 @@ def upl05_cumulative(t):
 @query(_exposed_sql(_TOTAL_COLUMNS) + " SELECT * FROM running")
 def upl05_running_state(t):
     """The same from a state advanced by three batches; facts of some customers come late."""
-    periods, late = _periods(t), F.col("customer_id") % 10 == 3
+    periods, late = materialise(_periods(t), "periods"), F.col("customer_id") % 10 == 3
     early = F.col("period") < "1998-04-01"
     state = RunningTotals(t.spark, new_location(t.spark, "running_totals"), list(_TOTAL_COLUMNS))
     state.advance(periods.where(early & ~late), 0)

@@ -86,16 +86,22 @@ class RunningTotals:
         return self.running(periods)
 
     def _prepare(self, periods: DataFrame, batch: int, folder: str) -> None:
-        """Write what the batch changes: the rows of each period it touches, and the new totals."""
+        """Write what the batch changes: the rows of each period it touches, and the new totals.
+
+        The batch itself is written first: what it is made from runs once, however often
+        its rows are read here.
+        """
+        periods.write.mode("overwrite").parquet(f"{folder}/added")
+        periods = self.spark.read.schema(periods.schema).parquet(f"{folder}/added")
         before = self._totals(batch, periods)
         first = periods.agg(F.min(PERIOD)).first()[0]
         keys = periods.select(*KEY).distinct()
         past = self.running(periods)
         later = past.where(F.col(PERIOD) >= F.lit(first)) if first is not None else past.limit(0)
         held = later.join(keys, list(KEY), "left_semi").select(*periods.columns)
-        rows = held.unionByName(periods).groupBy(CUSTOMER, PERIOD, VARIANT).agg(
-            *[F.sum(m).alias(m) for m in self.metrics]
-        )
+        # Dealt by the key alone: the sums, the running window and the join shuffle once.
+        dealt = held.unionByName(periods).repartition(*[F.col(c) for c in KEY])
+        rows = dealt.groupBy(CUSTOMER, PERIOD, VARIANT).agg(*[F.sum(m).alias(m) for m in self.metrics])
         # What the keys had reached before the first period that changes.
         sums = held.groupBy(*KEY).agg(*[F.sum(m).alias(f"_{m}") for m in self.metrics])
         start = before.join(keys, list(KEY), "left_semi").join(sums, list(KEY), "left").select(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.catalog import CATALOG, mechanisms
+from cohortry.catalog import CATALOG, mechanisms, uplift
 from cohortry.operators import states
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.running import RunningTotals
@@ -401,6 +401,37 @@ def test_a_new_period_leaves_earlier_ones_alone(spark):
     assert all(after[folder] == names for folder, names in before.items()) and len(after) == len(before) + 1
 
 
+def rows_made(spark, df):
+    """The frame, and an accumulator of the rows computed for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def passed(value):
+        made.add(1)
+        return value
+
+    return df.withColumn("customer_id", passed("customer_id")), made
+
+
+def test_a_batch_is_computed_once(spark):
+    entries = random_periods(spark, 5)
+    state = RunningTotals(spark, sinks.new_location(spark, "running"), ["a", "b"])
+    for number, batch in enumerate((entries[:40], entries[40:])):
+        periods, made = rows_made(spark, frame(spark, batch))
+        found = state.advance(periods, number)
+        assert made.value == len(batch)
+    sums = frame(spark, entries).groupBy("customer_id", "period", "variant").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    assert same_rows(found, with_running_totals(sums, ["a", "b"]))
+
+
+def test_the_batches_of_the_query_are_computed_once(spark, small, monkeypatch):
+    wanted = uplift.upl05_cumulative(small)
+    periods, made = rows_made(spark, uplift._periods(small))
+    monkeypatch.setattr(uplift, "_periods", lambda t: periods)
+    assert same_rows(uplift.upl05_running_state(small), wanted)
+    assert made.value == wanted.count()
+
+
 def test_a_state_without_batches(spark):
     state = RunningTotals(spark, sinks.new_location(spark, "running"), ["a", "b"])
     with pytest.raises(ValueError, match="no batch"):
